@@ -131,3 +131,29 @@ def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     dev = attach(df.select(*keys, value), med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(dev, keys, "_dev", {"mad": 0.5})
     return med.join(mad, keys) if keys else attach(med, mad, [])
+
+
+def expanding_median(df: DataFrame, period: str, value: str, periods: list[str]) -> DataFrame:
+    """Exact median of all rows in strictly earlier periods, for each listed period: (fold, n_train, median).
+
+    Rows are never copied per fold. Only the bucket totals are laid out by period; the rows of the
+    bucket holding the median are the only ones joined to folds.
+    """
+    d = distinct_counts(df, [period], value)
+    span = d.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    b = attach(d, span, []).withColumn("_b", value_bucket(value, "_lo", "_hi")).drop("_lo", "_hi")
+    per = b.groupBy("_b", period).agg(F.sum("_n").alias("_k"))
+    grid = per.select("_b").distinct().withColumn(period, F.explode(F.array(*[F.lit(p) for p in periods])))
+    earlier = Window.partitionBy("_b").orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    run = (grid.join(per, ["_b", period], "left").select("_b", F.col(period).alias("fold"), F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_k")))
+    wf = Window.partitionBy("fold").orderBy("_b")
+    cum = run.select("*", F.coalesce(F.sum("_k").over(wf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+                     F.sum("_k").over(Window.partitionBy("fold")).alias("n_train"))
+    lo, hi = F.floor((F.col("n_train") - 1) / 2), F.ceil((F.col("n_train") - 1) / 2)
+    end = F.col("_start") + F.col("_k")
+    need = cum.filter(((lo >= F.col("_start")) & (lo < end)) | ((hi >= F.col("_start")) & (hi < end)))
+    rows = (b.join(need, "_b").filter(F.col(period) < F.col("fold")).groupBy("fold", "_b", "_start", "n_train", value).agg(F.sum("_n").alias("_n")))
+    w = Window.partitionBy("fold", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_cum", F.col("_start") + F.sum("_n").over(w))
+    g = rows.groupBy("fold", "n_train").agg(F.min(F.when(F.col("_cum") > lo, F.col(value))).alias("_a"), F.min(F.when(F.col("_cum") > hi, F.col(value))).alias("_z"))
+    return g.select("fold", "n_train", ((F.col("_a") + F.col("_z")) / 2).alias("median"))
