@@ -181,7 +181,7 @@ _H = pit.HISTORY_COUNTS
 
 
 def _history(t):
-    return pit.seller_history(t.orders, t.items, gold.task_orders(t.orders))
+    return t.stage("history", lambda: pit.seller_history(t.orders, t.items, gold.task_orders(t.orders)))
 
 
 @query("g1_seller_history", f"""select order_id, seller_id, {', '.join(_H)}, latest_prior_purchase_us, latest_prior_outcome_us, round(seller_prior_late_count::double / nullif(seller_prior_outcome_count, 0), 6) seller_prior_late_rate,
@@ -252,7 +252,7 @@ def _targets(t):
 
 
 def _curves(t):
-    return pit.lag_curves(_curve_events(t), _targets(t), ["volume", "freight_cents"])
+    return t.stage("curves", lambda: pit.lag_curves(_curve_events(t), _targets(t), ["volume", "freight_cents"]))
 
 
 @query("g6_volume_curve", "select order_id, cast(sum(volume) as bigint) total_90, cast(sum(volume * (lag + 1)) as bigint) lag_moment, max(volume) peak from o_curve group by 1")
@@ -278,7 +278,7 @@ def _(t):
 def _(t):
     ch = ["volume", "freight_cents"]
     ev, tg = _curve_events(t), _targets(t)
-    a = pit.lag_curves(ev, tg, ch).filter("volume > 0").select("order_id", "lag", *ch)
+    a = _curves(t).filter("volume > 0").select("order_id", "lag", *ch)
     b = pit.direct_curves(ev, tg, ch).select("order_id", "lag", *[F.col(k).alias(f"d_{k}") for k in ch])
     j = joins.membership_join(a, b, ["order_id", "lag"])
     return j.agg(F.count(F.lit(1)).alias("compared"), n_if(~F.col("volume").eqNullSafe(F.col("d_volume"))).alias("volume_mismatches"),

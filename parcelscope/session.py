@@ -43,3 +43,29 @@ def cut_lineage(df):
     """Write ``df`` to the shared checkpoint folder and continue from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STAGED: dict = {}
+
+
+def stage(spark: SparkSession, scope: str, name: str, build):
+    """A shared intermediate table, built once per session and input folder.
+
+    Where the cluster names ``spark.checkpoint.dir`` the table is written there as Parquet and read
+    back, so later plans start from files and survive lost executors. Without it (tests) the frame
+    is persisted.
+    """
+    from pyspark.storagelevel import StorageLevel
+
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _STAGED:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        df = build()
+        if shared:
+            import zlib
+            path = f"{shared.rstrip('/')}/parcelscope/{key[0]}/{zlib.crc32(scope.encode()):08x}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            _STAGED[key] = spark.read.parquet(path)
+        else:
+            _STAGED[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return _STAGED[key]

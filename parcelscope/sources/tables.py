@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelscope.session import stage
+
 
 def _sec(x: str) -> str:
     return f"make_dt_interval(0, 0, 0, {x})"
@@ -27,6 +29,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def stage(self, name: str, build) -> DataFrame:
+        """Shared intermediate table of this folder (see ``session.stage``)."""
+        return stage(self.spark, self.dir, name, build)
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
