@@ -78,10 +78,13 @@ def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: one row per group, one column per probability."""
+    """Exact quantiles with linear interpolation: one row per group, one column per probability.
+
+    A probability may also be a function of the group's row count, given and returned as a column.
+    """
     b, offs = _bucketed(distinct_counts(df, keys, value), keys, value, ["_n"])
     total = F.col("_n_total")
-    pos = {k: F.lit(float(p)) * (total - 1) for k, p in probs.items()}
+    pos = {k: (p(total) if callable(p) else F.lit(float(p))) * (total - 1) for k, p in probs.items()}
     low = {k: F.floor(x) for k, x in pos.items()}
     high = {k: F.least(x + 1, total - 1) for k, x in low.items()}
     ranks = F.array(*low.values(), *high.values())
