@@ -225,23 +225,20 @@ def apply_fold_coefficients(df: DataFrame, period: str, xs: list[str], coefs: di
     return df.join(c, period, "left").withColumn(out, score).drop("_coef")
 
 
-def _unrolled(fold_rows: list[tuple], usable: str) -> Column:
-    """Array of the folds a row trains in: folds whose month is after the row became usable."""
-    arr = F.array(*[F.struct(F.lit(m).alias("fold"), F.array(*[F.lit(float(v)) for v in b]).alias("b")) for m, b in fold_rows])
-    return F.filter(arr, lambda f: f["fold"] > F.col(usable))
-
-
 def fold_logit(df: DataFrame, usable: str, folds: list[str], xs: list[str], y: str, c: float | None = 1.0, max_iter: int = 25,
                tol: float = 1e-8) -> dict[str, dict]:
     """Logistic fits for every expanding fold together: one aggregate per Newton step for all folds.
 
-    A row trains in each fold whose month follows the month it became usable. Columns are scaled by
+    A row trains in each fold whose month follows the month it became usable: it is unrolled to the
+    numbers of those folds and meets the coefficients in an equi-join with a table of one row per
+    fold, so the plan (and its generated code) is the same in every step. Columns are scaled by
     the fold's own training mean and population deviation; ``c`` is the inverse L2 strength on the
     scaled coefficients (None: no penalty). Returns raw-unit coefficients per fold.
     """
     p = len(xs)
     d = df.select(F.col(usable).alias("_u"), F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]).na.drop()
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    started = [F.when(F.col("_u") >= f, 1).otherwise(0) for f in folds]
+    d = d.withColumn("_first", sum(started[1:], started[0])).persist(StorageLevel.MEMORY_AND_DISK)
     per = d.groupBy("_u").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), *[F.sum(x).alias(f"s_{x}") for x in xs],
                               *[F.sum(F.col(x) * F.col(x)).alias(f"q_{x}") for x in xs]).toPandas()
     info = {}
@@ -252,7 +249,7 @@ def fold_logit(df: DataFrame, usable: str, folds: list[str], xs: list[str], y: s
             continue
         mean = np.array([t[f"s_{x}"].sum() / n for x in xs])
         sd = np.sqrt(np.maximum(np.array([t[f"q_{x}"].sum() / n for x in xs]) - mean ** 2, 0))
-        info[f] = {"n": n, "pos": pos, "mean": mean, "sd": np.where(sd > 0, sd, 1.0), "beta": np.zeros(p + 1), "done": False}
+        info[f] = {"i": folds.index(f), "n": n, "pos": pos, "mean": mean, "sd": np.where(sd > 0, sd, 1.0), "beta": np.zeros(p + 1), "done": False}
     pen = np.diag([0.0] + [0.0 if c is None else 1.0 / c] * p)
 
     def raw(i):
@@ -263,12 +260,13 @@ def fold_logit(df: DataFrame, usable: str, folds: list[str], xs: list[str], y: s
         live = [f for f, i in info.items() if not i["done"]]
         if not live:
             break
-        e = d.withColumn("_f", F.explode(_unrolled([(f, raw(info[f])) for f in live], "_u")))
-        b = F.col("_f")["b"]
-        eta = b[0]
+        rows = [(f, info[f]["i"], *[float(v) for v in raw(info[f])]) for f in live]
+        coefs = d.sparkSession.createDataFrame(rows, "fold string, _i int, " + ", ".join(f"b{i} double" for i in range(p + 1)))
+        e = d.filter(F.col("_first") < len(folds)).select("*", F.explode(F.sequence("_first", F.lit(len(folds) - 1))).alias("_i")).join(F.broadcast(coefs), "_i")
+        eta = F.col("b0")
         for i, x in enumerate(xs):
-            eta = eta + b[i + 1] * F.col(x)
-        e = e.select(F.col("_f")["fold"].alias("fold"), F.lit(1.0).alias("_x0"), *[F.col(x).alias(f"_x{i + 1}") for i, x in enumerate(xs)], "_y",
+            eta = eta + F.col(f"b{i + 1}") * F.col(x)
+        e = e.select("fold", F.lit(1.0).alias("_x0"), *[F.col(x).alias(f"_x{i + 1}") for i, x in enumerate(xs)], "_y",
                      (1.0 / (1.0 + F.exp(-eta))).alias("_m")).withColumn("_w", F.col("_m") * (1 - F.col("_m")))
         rows = e.groupBy("fold").agg(*[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i, j in pairs],
                                      *[F.sum((F.col("_y") - F.col("_m")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(p + 1)]).collect()

@@ -126,7 +126,7 @@ def _(t):
     return union([ev.recall_at(scores(t), _K, f) for f in (.05, .1, .2)])
 
 
-@query("k8_macro_summary", "select model, count(ap) "months", round(avg(ap), 6) mean_ap, round(median(ap), 6) median_ap, round(avg(auc), 6) mean_auc from o_rank group by 1")
+@query("k8_macro_summary", 'select model, count(ap) "months", round(avg(ap), 6) mean_ap, round(median(ap), 6) median_ap, round(avg(auc), 6) mean_auc from o_rank group by 1')
 def _(t):
     m = ev.ranking_metrics(scores(t), _K)
     return m.groupBy("model").agg(F.count("ap").alias("months"), rnd(F.avg("ap")).alias("mean_ap"), rnd(F.median("ap")).alias("median_ap"), rnd(F.avg("auc")).alias("mean_auc"))
@@ -139,7 +139,7 @@ def deltas(t, metric="ap", higher=True):
     return t.stage(f"deltas_{metric}", lambda: ev.oriented_deltas(ev.all_metrics(scores(t), _K), "M0", "M1", metric, higher))
 
 
-@query("k9_paired_wins", f"select count(*) "months", count(*) filter (delta > 1e-12) wins, count(*) filter (abs(delta) <= 1e-12) ties, count(*) filter (delta < -1e-12) losses, round(avg(delta), 6) mean_delta from {_DEL}")
+@query("k9_paired_wins", f'select count(*) "months", count(*) filter (delta > 1e-12) wins, count(*) filter (abs(delta) <= 1e-12) ties, count(*) filter (delta < -1e-12) losses, round(avg(delta), 6) mean_delta from {_DEL}')
 def _(t):
     return ev.win_table(deltas(t))
 
