@@ -40,23 +40,24 @@ def all_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return m.withColumn("ap_lift", rnd(F.col("ap") / F.nullif("prevalence", F.lit(0.0)), 5))
 
 
-def recall_at(df: DataFrame, keys: list[str], fraction: float, row_id: str = "order_id", y: str = "y", score: str = "score") -> DataFrame:
-    """Recall among the top max(1, ceil(f n)) rows; score ties go to the smaller row id.
+def recall_at(df: DataFrame, keys: list[str], fractions: list[float], row_id: str = "order_id", y: str = "y", score: str = "score") -> DataFrame:
+    """Recall among the top max(1, ceil(f n)) rows per fraction; score ties go to the smaller row id.
 
-    Whole score groups above the cut come from counts; only the tie group at the cut is ranked by id.
+    Whole score groups above a cut come from counts (all fractions at once); only the tie group at
+    each cut is ranked by id.
     """
     c = ranks.cumulative(score_counts(df, keys, y, score), keys, score, ["_n", "_pos"])
-    k = F.greatest(F.lit(1), F.ceil(F.col("_n_total") * fraction))
-    above = F.col("_n_total") - F.col("_n_before") - F.col("_n")
-    c = c.withColumns({"_k": k, "_above": above})
-    full = c.groupBy(*keys).agg(F.first("_k").alias("k"), F.first("_pos_total").alias("positives"),
-                                F.sum(F.when(F.col("_above") + F.col("_n") <= F.col("_k"), F.col("_pos")).otherwise(0)).alias("_full"))
-    cut = c.filter((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_n") > F.col("_k"))).select(*keys, score, (F.col("_k") - F.col("_above")).alias("_m"))
+    c = c.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    c = c.withColumns({"_k": F.greatest(F.lit(1), F.ceil(F.col("_n_total") * F.col("fraction"))), "_above": F.col("_n_total") - F.col("_n_before") - F.col("_n")})
+    by = [*keys, "fraction"]
+    full = c.groupBy(*by).agg(F.first("_k").alias("k"), F.first("_pos_total").alias("positives"),
+                              F.sum(F.when(F.col("_above") + F.col("_n") <= F.col("_k"), F.col("_pos")).otherwise(0)).alias("_full"))
+    cut = c.filter((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_n") > F.col("_k"))).select(*by, score, (F.col("_k") - F.col("_above")).alias("_m"))
     tied = df.join(cut, [*keys, score])
-    rank = ranks.cumulative(ranks.distinct_counts(tied, [*keys, "_m"], row_id, _pos=y), [*keys, "_m"], row_id, ["_n"])
-    part = rank.filter(F.col("_n_before") < F.col("_m")).groupBy(*keys).agg(F.sum("_pos").alias("_part"))
-    out = full.join(part, keys, "left").withColumn("hits", F.col("_full") + F.coalesce("_part", F.lit(0)))
-    return out.select(*keys, F.lit(fraction).alias("fraction"), "k", "hits", rnd(ratio("hits", "positives")).alias("recall"))
+    rank = ranks.cumulative(ranks.distinct_counts(tied, [*by, "_m"], row_id, _pos=y), [*by, "_m"], row_id, ["_n"])
+    part = rank.filter(F.col("_n_before") < F.col("_m")).groupBy(*by).agg(F.sum("_pos").alias("_part"))
+    out = full.join(part, by, "left").withColumn("hits", F.col("_full") + F.coalesce("_part", F.lit(0)))
+    return out.select(*by, "k", "hits", rnd(ratio("hits", "positives")).alias("recall"))
 
 
 def calibration_bins(df: DataFrame, keys: list[str], bins: int = 10, y: str = "y", score: str = "score") -> DataFrame:

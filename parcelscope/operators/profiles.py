@@ -45,9 +45,9 @@ def numeric_profile(df: DataFrame, columns: list[str], table: str) -> DataFrame:
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.when(nn > 2, F.skewness(v) * F.sqrt(nn * (nn - 1)) / (nn - 2)).alias("skew"),
         F.when(nn > 3, ((nn + 1) * F.kurtosis(v) + 6) * (nn - 1) / ((nn - 2) * (nn - 3))).alias("kurtosis"))
-    q = ranks.exact_quantiles(long, key, v, PROFILE_PROBS)
-    mm = ranks.median_mad(long, key, v)
     d = ranks.distinct_counts(long, key, v)
+    q = ranks.quantiles_of_counts(d, key, v, {**PROFILE_PROBS, "median": .5})
+    mm = ranks.quantiles_of_counts(ranks.deviation_counts(d, q, key, v, "median"), key, "_dev", {"mad": .5})
     card = d.groupBy("variable").agg(F.count(F.lit(1)).alias("unique_values"), F.max("_n").alias("_top"))
     stats = base.join(q, key).join(mm, key).join(card, key)
     iqr = F.col("p75") - F.col("p25")

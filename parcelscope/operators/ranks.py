@@ -82,7 +82,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     A probability may also be a function of the group's row count, given and returned as a column.
     """
-    b, offs = _bucketed(distinct_counts(df, keys, value), keys, value, ["_n"])
+    return quantiles_of_counts(distinct_counts(df, keys, value), keys, value, probs)
+
+
+def quantiles_of_counts(d: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``exact_quantiles`` of data already reduced to one row per (keys, value) with ``_n`` rows."""
+    b, offs = _bucketed(d, keys, value, ["_n"])
     total = F.col("_n_total")
     pos = {k: (p(total) if callable(p) else F.lit(float(p))) * (total - 1) for k, p in probs.items()}
     low = {k: F.floor(x) for k, x in pos.items()}
@@ -128,11 +133,17 @@ def qcut(df: DataFrame, value: str, bins: int, keys: list[str] | None = None, ou
             .withColumn(out, bin_of(value, "edges")).drop("edges"))
 
 
+def deviation_counts(d: DataFrame, centre: DataFrame, keys: list[str], value: str, mid: str) -> DataFrame:
+    """Counts of |value - centre| from distinct-value counts; the rows themselves are not read again."""
+    j = attach(d, centre.select(*keys, mid), keys)
+    return j.groupBy(*keys, F.abs(F.col(value) - F.col(mid)).alias("_dev")).agg(F.sum("_n").alias("_n"))
+
+
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: median and median absolute deviation (two exact passes)."""
-    med = exact_quantiles(df, keys, value, {"median": 0.5})
-    dev = attach(df.select(*keys, value), med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    mad = exact_quantiles(dev, keys, "_dev", {"mad": 0.5})
+    """Per group: median and median absolute deviation (exact)."""
+    d = distinct_counts(df, keys, value)
+    med = quantiles_of_counts(d, keys, value, {"median": 0.5})
+    mad = quantiles_of_counts(deviation_counts(d, med, keys, value, "median"), keys, "_dev", {"mad": 0.5})
     return med.join(mad, keys) if keys else attach(med, mad, [])
 
 

@@ -123,7 +123,7 @@ def _(t):
 @query("k7_recall_at_fraction", " union all ".join(f"""select model, "month", {f}::double fraction, cast(greatest(1, ceil(max(n) * {f}::double)) as bigint) k, cast(sum(y) filter (rn <= greatest(1, ceil(n * {f}::double))) as bigint) hits,
  round(sum(y) filter (rn <= greatest(1, ceil(n * {f}::double)))::double / nullif(sum(y), 0), 6) recall from (select *, count(*) over (partition by model, "month") n, row_number() over (partition by model, "month" order by score desc, order_id) rn from o_scores) group by 1, 2""" for f in (.05, .1, .2)))
 def _(t):
-    return union([ev.recall_at(scores(t), _K, f) for f in (.05, .1, .2)])
+    return ev.recall_at(scores(t), _K, [.05, .1, .2])
 
 
 @query("k8_macro_summary", 'select model, count(ap) "months", round(avg(ap), 6) mean_ap, round(median(ap), 6) median_ap, round(avg(auc), 6) mean_auc from o_rank group by 1')
@@ -136,7 +136,8 @@ _DEL = """(select a."month", b.ap - a.ap delta from o_rank a join o_rank b on a.
 
 
 def deltas(t, metric="ap", higher=True):
-    return t.stage(f"deltas_{metric}", lambda: ev.oriented_deltas(ev.all_metrics(scores(t), _K), "M0", "M1", metric, higher))
+    m = t.stage("fold_metrics", lambda: ev.all_metrics(scores(t), _K))
+    return ev.oriented_deltas(m, "M0", "M1", metric, higher)
 
 
 @query("k9_paired_wins", f'select count(*) "months", count(*) filter (delta > 1e-12) wins, count(*) filter (abs(delta) <= 1e-12) ties, count(*) filter (delta < -1e-12) losses, round(avg(delta), 6) mean_delta from {_DEL}')

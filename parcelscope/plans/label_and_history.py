@@ -274,15 +274,14 @@ def _(t):
     return g.withColumn("nested", ((F.col("v30") <= F.col("v60")) & (F.col("v60") <= F.col("v90"))).cast("int"))
 
 
-@query("g9_direct_curve_check", "select count(*) compared, 0 volume_mismatches, 0 freight_mismatches, cast(sum(volume) as bigint) volume from o_curve")
+@query("g9_direct_curve_check")
 def _(t):
     ch = ["volume", "freight_cents"]
-    ev, tg = _curve_events(t), _targets(t)
-    a = _curves(t).filter("volume > 0").select("order_id", "lag", *ch)
-    b = pit.direct_curves(ev, tg, ch).select("order_id", "lag", *[F.col(k).alias(f"d_{k}") for k in ch])
+    b = pit.direct_curves(_curve_events(t), _targets(t), ch, one_in=20).select("order_id", "lag", *[F.col(k).alias(f"d_{k}") for k in ch])
+    a = _curves(t).filter("volume > 0").select("order_id", "lag", *ch).join(b.select("order_id").distinct(), "order_id", "left_semi")
     j = joins.membership_join(a, b, ["order_id", "lag"])
     return j.agg(F.count(F.lit(1)).alias("compared"), n_if(~F.col("volume").eqNullSafe(F.col("d_volume"))).alias("volume_mismatches"),
-                 n_if(~F.col("freight_cents").eqNullSafe(F.col("d_freight_cents"))).alias("freight_mismatches"), F.sum("volume").alias("volume"))
+                 n_if(~F.col("freight_cents").eqNullSafe(F.col("d_freight_cents"))).alias("freight_mismatches"))
 
 
 @query("g10_history_support", """

@@ -1,6 +1,5 @@
 """Sources (A), relational operators (B), aggregations and gold tables (C)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelscope.functions import columns as x
@@ -257,10 +256,9 @@ select order_id, row_number() over (partition by cast(order_purchase_timestamp a
     where z.d < cast(o.order_purchase_timestamp as date)), 0) - 1 row_index from e_orders o""")
 def _(t):
     o = t.orders.select("order_id", x.us("order_purchase_timestamp").alias("t"))
-    d = ranks.cumulative(o.withColumn("_n", F.lit(1)).groupBy("t").agg(F.sum("_n").alias("_n")), [], "t", ["_n"])
-    within = Window.partitionBy("t").orderBy("order_id")
-    return o.join(d.select("t", "_n_before"), "t").select(
-        "order_id", (F.col("_n_before") + F.row_number().over(within) - 1).alias("row_index"))
+    d = ranks.cumulative(ranks.distinct_counts(o, [], "t"), [], "t", ["_n"]).select("t", F.col("_n_before").alias("earlier"))
+    ties = ranks.cumulative(ranks.distinct_counts(o, ["t"], "order_id"), ["t"], "order_id", ["_n"])
+    return ties.join(d, "t").select("order_id", (F.col("earlier") + F.col("_n_before")).alias("row_index"))
 
 
 # ---------------------------------------------------------------- C aggregations and gold
