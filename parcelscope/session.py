@@ -21,6 +21,11 @@ def build_session(master: str | None = None, app: str = "parcelscope", **conf: s
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """Directory for reliable checkpoints: the cluster's setting; a fallback only where it is unset."""
     import tempfile
@@ -29,7 +34,7 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     have = sc.getCheckpointDir()
     if have:
         return have
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = shared_folder(spark)
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
@@ -59,7 +64,7 @@ def stage(spark: SparkSession, scope: str, name: str, build):
 
     key = (spark.sparkContext.applicationId, scope, name)
     if key not in _STAGED:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
+        shared = shared_folder(spark)
         df = build()
         if shared:
             import zlib
