@@ -50,10 +50,15 @@ def is_delivered():
 
 
 def supervised_cohort(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Orders with items, an observed outcome and status delivered."""
-    y = (service_outcomes(orders).filter(F.col("target_observed") & is_delivered())
-         .select("order_id", "late_delivery_calendar_day"))
-    return features_core(orders, items).filter("has_order_items").join(y, "order_id")
+    """Orders with items, an observed outcome and status delivered.
+
+    Label and prediction time come from the same order row, so the orders are read once and only
+    joined to the item aggregate.
+    """
+    o = (orders.filter(is_delivered() & F.col(DELIVERED).isNotNull() & F.col(PROMISED).isNotNull())
+         .select("order_id", F.col(PURCHASE).alias("prediction_time"), (day(DELIVERED) > day(PROMISED)).alias("late_delivery_calendar_day")))
+    return o.join(order_core(items), "order_id").withColumn("has_order_items", F.lit(True)).select(
+        "order_id", "prediction_time", "has_order_items", *CORE_FEATURES, "late_delivery_calendar_day")
 
 
 def task_orders(orders: DataFrame) -> DataFrame:
