@@ -220,7 +220,7 @@ def _compl_sql(tab, cols):
 
 
 @query("d21_completeness", "select *, case when missing_pct <= lim then 'PASS' else sev end status from (" + " union all ".join(
-    f"select *, {lim} lim, '{sev}' sev from ({_compl_sql('products', [k])})" for k, (lim, sev) in _LIMITS.items()) + ")")
+    f"select *, {lim}::double lim, '{sev}' sev from ({_compl_sql('products', [k])})" for k, (lim, sev) in _LIMITS.items()) + ")")
 def _(t):
     p = profiles.graded_completeness(profiles.completeness(t.products, _P_COLS, "products"), _LIMITS)
     lim = F.create_map(*[F.lit(v) for k, (a, _) in _LIMITS.items() for v in (k, a)])

@@ -44,5 +44,18 @@ def test_matches_duckdb(spark, con, name):
     assert not bad, bad[:3]
 
 
+@pytest.mark.parametrize("name", ["g3_history_bruteforce_audit", "g9_direct_curve_check"])
+def test_sampled_audits_find_no_difference(spark, name):
+    row = entry.queries()[name](spark, SF).first().asDict()
+    assert all(v == 0 for k, v in row.items() if k.endswith("mismatches"))
+    assert max(row.values()) > 0
+
+
+@pytest.mark.parametrize("name", ["a4_source_file_hashes", "a7_dataset_file_contract", "j5_bootstrap_decile_medians", "j6_ols_nested_specs", "j14_beta_posterior",
+                                  "j20_rank_audit", "k15_sign_test", "k26_negative_smoothing"])
+def test_queries_without_sql_return_rows(spark, name):
+    assert entry.queries()[name](spark, SF).head(1)
+
+
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).head(1)
