@@ -1,11 +1,14 @@
 """Sources (A), relational operators (B), aggregations and gold tables (C)."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from parcelscope.functions import columns as x
 from parcelscope.functions.columns import rnd
 from parcelscope.operators import cohorts, gold, joins, ranks
 from parcelscope.plans.registry import query
+from parcelscope.session import checkpoint_dir
 from parcelscope.sources import bronze
 
 TABLES = ["orders", "items", "customers", "sellers", "products", "payments", "reviews", "geolocation", "translation"]
@@ -64,6 +67,28 @@ def _(t):
     return bronze.file_hashes(t.spark, t.dir, "*.parquet")
 
 
+def _scratch(t, name):
+    """A folder for tables written by a query, inside the session's checkpoint folder."""
+    return f"{checkpoint_dir(t.spark)}/tables/{zlib.crc32(t.dir.encode()):08x}/{name}"
+
+
+@query("a1_bronze_csv_scan", """
+select order_id, order_item_id, product_id, price, freight_value from (select cast(order_id as varchar) order_id, order_item_id, cast(product_id as varchar) product_id, price, freight_value from e_items)""")
+def _(t):
+    path = _scratch(t, "order_items_csv")
+    cols = list(bronze.SILVER_TYPES["order_items"])
+    bronze.write_table(t.items.select(*[F.col(k).cast("string").alias(k) for k in cols]), path, "csv")
+    s = bronze.silver_type(bronze.bronze_scan(t.spark, path, "order_items"), "order_items")
+    return s.select("order_id", "order_item_id", "product_id", "price", "freight_value")
+
+
+@query("a5_write_table", "select order_id, target_observed, late_delivery_calendar_day from o_outcomes")
+def _(t):
+    path = _scratch(t, "delivery_service_outcomes")
+    bronze.write_table(gold.service_outcomes(t.orders), path)
+    return t.spark.read.parquet(path).select("order_id", "target_observed", "late_delivery_calendar_day")
+
+
 @query("a6_numeric_coercion", f"""
 select count(*) n, count(*) filter (nullif(price, '') is not null) n_text, count(try_cast(nullif(price, '') as double)) n_number
 from {_DIRTY}""")
