@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.llm.common import cut, whole_text
@@ -30,22 +30,30 @@ CELL = 16
 BITS = 2
 
 
-def fingerprint(data: bytes, width: int) -> int:
-    import xxhash
-
+def shingles(data: bytes, width: int) -> list[bytes]:
     words = data.lower().split()  # bytes: only A-Z and ASCII white space
-    if not words:
-        return 0
     if len(words) < width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+
+
+def hashes(parts: list[bytes]) -> np.ndarray:
+    import xxhash
+
     digest = xxhash.xxh64_intdigest
+    return np.array([digest(s, 42) for s in parts], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
     count = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(shingles), 1 << 16):  # bounded memory for very long texts
-        h = np.array([digest(s, 42) for s in shingles[a : a + (1 << 16)]], dtype="<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > len(shingles), bitorder="little").view("<u8")[0])
+    for a in range(0, len(h), 1 << 16):  # bounded memory for very long texts
+        count += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(data: bytes, width: int) -> int:
+    return majority(hashes(shingles(data, width)))
 
 
 def grid_point(prints: np.ndarray) -> np.ndarray:
@@ -113,3 +121,104 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = BITS) -> Dat
     whole = prints.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     # a fingerprint that a third of the rows share makes a skewed partition, which adaptive execution splits
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by similarity -------------------------------------------------------------------------
+
+#: A size class has up to this many views, and samples of about 128 to 256 shingles.
+VIEWS, SAMPLE_BITS = 16, 7
+
+
+def partial_prints(h: np.ndarray) -> list[tuple[int, int, int]]:
+    """SimHash fingerprints of small fixed parts of a text's shingles: size class, view, fingerprint.
+
+    The class is that of the number of different shingles, in powers of two; a text that is within the similarity of the next class is listed there too. A
+    class samples shingles by a threshold and deals them to views by their hash, two to four to a view, so that near copies agree on
+    whole views however long they are.
+    """
+    n, out = len(h), []
+    for c in {n.bit_length() - 1, int(n * 1.25).bit_length() - 1} if n else ():
+        some = h[(h >> np.uint64(64 - max(1, c - SAMPLE_BITS))) == 0] if c > SAMPLE_BITS else h
+        slots = 1 << max(0, min(c, SAMPLE_BITS) - 1)
+        slot = ((some * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(slots)
+        for j in range(min(slots, VIEWS)):
+            part = some[slot == j]
+            if len(part):
+                out.append((c, j, majority(part)))
+    return out
+
+
+def described(docs: DataFrame, width: int) -> DataFrame:
+    """Rows with whole and partial fingerprints and the sampled shingles (upper hash bits, ascending)."""
+    text = whole_text(docs)
+    kind = text.schema["doc_id"].dataType.simpleString()
+    part = pa.list_(pa.struct([("c", pa.int32()), ("j", pa.int32()), ("f", pa.int64())]))
+
+    def mapped(batches):
+        import zlib
+
+        for batch in batches:
+            crc, fp, n, sample, parts = [], [], [], [], []
+            for t in batch.column("text"):
+                raw = t.as_py().encode()
+                h = hashes(shingles(raw, width))
+                crc.append(zlib.crc32(raw))
+                fp.append(majority(h))
+                h = np.unique(h)
+                n.append(len(h))
+                bits = max(0, len(h).bit_length() - 1 - SAMPLE_BITS)
+                sample.append((h[: np.searchsorted(h, np.uint64(1 << (64 - bits)))] if bits else h) >> np.uint64(33))
+                parts.append([{"c": c, "j": j, "f": _signed(f)} for c, j, f in partial_prints(h)])
+            prints = np.array(fp, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(prints.view(np.int64)), pa.array(grid_point(prints)), pa.array(n, pa.int64()),
+                 pa.array([x.astype(np.int32) for x in sample], pa.list_(pa.int32())), pa.array(parts, part)],
+                ["doc_id", "crc", "fp", "point", "n", "sample", "parts"])
+
+    return text.mapInArrow(mapped, f"doc_id {kind}, crc long, fp long, point long, n long, sample array<int>, parts array<struct<c:int,j:int,f:long>>")
+
+
+def resemblance(a: str, b: str) -> Column:
+    """Jaccard similarity of two samples, at the coarser threshold of both; exact for texts of up to 255 different shingles."""
+    bits = F.greatest(*(F.greatest(F.floor(F.log2(F.greatest(F.col(f"n{x}"), F.lit(1)))) - SAMPLE_BITS, F.lit(0)) for x in (a, b))).cast("int")
+    fine = lambda x: F.filter(f"sample{x}", lambda v: F.call_function("shiftrightunsigned", v, F.lit(31) - bits) == 0)
+    common = F.size(F.array_intersect(fine(a), fine(b)))
+    every = F.size(fine(a)) + F.size(fine(b)) - common
+    return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
+
+
+def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bits: int = BITS) -> DataFrame:
+    """``doc_id, crc, group`` of every row: groups of texts linked by a similarity of at least ``similar``.
+
+    Candidates are texts with whole fingerprints within ``bits`` and texts that agree on a partial one. Those of one partial fingerprint are compared with three of them
+    (least and greatest id and the least by a hash), never all with all; other views have other ones. Equal texts are compared once.
+    """
+    rows = cut(described(docs, width), "copies_rows")
+    rows = rows.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc"))
+    texts = cut(rows.groupBy("fp", "point", "n", "sample").agg(F.min("key").alias("key"), F.min("parts").alias("parts")).withColumn("id", F.xxhash64("fp", "n", "sample")), "copies_texts")
+    prints = texts.groupBy("fp", "point").agg(F.min("id").alias("id"))
+    close = links(prints, bits).unionByName(texts.select("fp", F.col("id").alias("a")).join(prints.select("fp", F.col("id").alias("b")), "fp").filter("a <> b").select("a", "b"))
+    agree = texts.select("id", F.explode("parts").alias("p")).select("id", F.xxhash64("p.c", "p.j", "p.f").alias("view"))
+    order = F.struct(F.xxhash64("view", "id"), "id")
+    hubs = agree.groupBy("view").agg(F.count("*").alias("m"), F.array(F.min("id"), F.max("id"), F.min(order)["id"]).alias("hubs")).filter("m > 1")
+    shared = agree.join(hubs, "view").select(F.explode("hubs").alias("a"), F.col("id").alias("b")).filter("a <> b")
+    pairs = close.unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = texts.select("id", "n", "sample")
+    side = lambda x: known.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sample").alias(f"sample{x}"))
+    # sizes rule most chance pairs out before samples are moved
+    sized = pairs.join(known.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    sized = sized.filter(F.least("na", "nb") >= similar * F.greatest("na", "nb")).select("a", "b")
+    linked = sized.join(side("a"), "a").join(side("b"), "b").filter(resemblance("a", "b") >= similar).select("a", "b")
+    found = components(linked)
+    grouped = texts.join(found, "id", "left").select("fp", "n", "sample", F.coalesce("component", "id").alias("group"))
+    return rows.join(grouped, ["fp", "n", "sample"]).select("doc_id", "crc", "group")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one document of each group, the one with the least id; rows that repeat it go too."""
+    groups = cut(near_copies(docs, **options), "copies_groups")
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("k"))
+    stay = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.crc").alias("crc"))
+    named = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit(""))))
+    kept = named.join(stay, named["doc_id"].eqNullSafe(stay["doc_id"]) & (named["__crc"] == stay["crc"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__crc"]).select(*docs.columns)
