@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import cut, whole_text
+from parcelscope.llm.common import cut, slices, whole_text
 
 GRAMS = (3, 4, 5, 6)
 BITS, DIM, CELL = 18, 8, 16
 #: Labelled texts of each class, and bytes of text in all, that the fit reads at most.
-SAMPLE, SAMPLE_BYTES = {1: 1500, 0: 4500}, 48 << 20
+SAMPLE, SAMPLE_BYTES = {1: 1000, 0: 3000}, 24 << 20
 STEPS, RATE = 120, 30.0
+#: Of the embeddings: rows share a passage's gradient with about a hundred others.
+STEP = 64.0
+WARM_UP = 20
 
 #: Letters and digits; all other bytes are blanks.
 _WORDS = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b >= 128 else 32 for b in range(256))
@@ -92,49 +95,70 @@ def worst(logit: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return hit[first]
 
 
+class Block:
+    """The n-grams of some texts in the order of their cells: four bytes each."""
+
+    def __init__(self, texts: list[str]):
+        data, self.cells = normal_bytes(texts)
+        found = [((at // CELL).astype(np.int32), h) for at, h in grams(data)]
+        cell = np.concatenate([a for a, _ in found])
+        order = np.argsort(cell, kind="stable")
+        self.hash = np.concatenate([h for _, h in found])[order]
+        self.starts = np.searchsorted(cell[order], np.arange(len(data) // CELL + 1))
+        self.number = np.diff(self.starts)
+        self.number[:-1] += np.diff(self.starts)[1:]
+        self.last = self.cells[1:] - 1
+
+    def whole(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's n-grams from, to, and their mean."""
+        a, b = self.starts[self.cells[:-1]], self.starts[self.cells[1:]]
+        sums = np.concatenate([[0.0], np.cumsum(table[self.hash])])
+        return a, b, (sums[b] - sums[a]) / np.maximum(b - a, 1)
+
+    def worst(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's worst passage: its n-grams from, to, and their mean."""
+        own = np.diff(np.concatenate([[0.0], np.cumsum(table[self.hash])])[self.starts])
+        own[:-1] += own[1:].copy()
+        logit = own / np.maximum(self.number, 1)
+        logit[self.last] = -np.inf
+        at = worst(logit, self.cells)
+        return self.starts[at], self.starts[at + 2], logit[at]
+
+    def share(self, a: np.ndarray, b: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """Every hash's part of the gradient: its share of the passages it is in."""
+        picked = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
+        return np.bincount(self.hash[picked], weights=np.repeat(error / np.maximum(b - a, 1), b - a), minlength=1 << BITS)
+
+
 def fit(texts: list[str], labels: np.ndarray, *, steps: int = STEPS, rate: float = RATE, seed: int = 3) -> tuple[np.ndarray, float]:
     """The table of one number per hash, and the bias."""
     y = np.asarray(labels, dtype=float)
     positive = float(y.sum())
-    table = np.zeros(1 << BITS)
     base = (positive + 1) / (len(y) + 2)
     if positive in (0.0, float(len(y))):
-        return table, float(np.log(base / (1 - base)))
-    data, cells = normal_bytes(texts)
-    found = [(at // CELL, h) for at, h in grams(data)]
-    cell_of, hash_of = np.concatenate([a for a, _ in found]).astype(np.int32), np.concatenate([h for _, h in found])
-    order = np.argsort(cell_of, kind="stable")
-    cell_of, hash_of = cell_of[order], hash_of[order]
-    starts = np.searchsorted(cell_of, np.arange(len(data) // CELL + 1))
-    number = np.diff(starts)
-    both = number.copy()
-    both[:-1] += number[1:]
+        return np.zeros(1 << BITS), float(np.log(base / (1 - base)))
+    edges, blocks = list(slices(texts)), []
+    for a, b in edges:
+        blocks.append(Block(texts[a:b]))
     rng = np.random.default_rng(seed)
     embedding = np.zeros((1 << BITS, DIM))
     softmax = rng.normal(scale=DIM**-0.5, size=(DIM, 2))
     bias = np.zeros(2)
     weight = np.where(y == 1, 0.5 / positive, 0.5 / (len(y) - positive))  # classes count alike
-    last = cells[1:] - 1
-    for _ in range(steps):
-        table = embedding @ (softmax[:, 1] - softmax[:, 0])
-        sums = np.concatenate([[0.0], np.cumsum(table[hash_of])])[starts]
-        own = np.diff(sums)
-        two = own.copy()
-        two[:-1] += own[1:]
-        logit = two / np.maximum(both, 1)
-        logit[last] = -np.inf
-        at = worst(logit, cells)
-        p = 1 / (1 + np.exp(-(logit[at] + bias[1] - bias[0])))
-        error = weight * (p - y)
-        # the gradient of every n-gram row is its share of the passage's error times the map
-        a, b = starts[at], starts[at + 2]
-        picked = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
-        share = np.bincount(hash_of[picked], weights=np.repeat(error / np.maximum(b - a, 1), b - a), minlength=1 << BITS)
+    for step in range(steps):
         direction = softmax[:, 1] - softmax[:, 0]
+        table, share, total = embedding @ direction, np.zeros(1 << BITS), 0.0
+        for (low, high), block in zip(edges, blocks, strict=True):
+            # until the embeddings say something, no passage is worse than another: the first steps take whole texts
+            a, b, logit = block.whole(table) if step < WARM_UP else block.worst(table)
+            p = 1 / (1 + np.exp(-np.clip(logit + bias[1] - bias[0], -40, 40)))
+            error = weight[low:high] * (p - y[low:high])
+            share += block.share(a, b, error)
+            total += error.sum()
         pull = embedding.T @ share
-        embedding -= rate * len(GRAMS) * CELL * np.outer(share, direction)
+        embedding -= rate * STEP * np.outer(share, direction)
         softmax -= 0.01 * rate / max(1.0, np.abs(pull).max() * rate) * np.stack([-pull, pull], axis=1)
-        bias -= 0.5 * np.array([-error.sum(), error.sum()])
+        bias -= 0.5 * np.array([-total, total])
     return embedding @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
 
 
@@ -155,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
     chosen = [known.filter(F.col("y") == y).orderBy("order", "doc_id").limit(n) for y, n in SAMPLE.items()]
-    chosen = cut(chosen[0].unionByName(chosen[1]), "toxicity_sample")  # at most 6,000 ids
+    chosen = cut(chosen[0].unionByName(chosen[1]), "toxicity_sample")  # at most 4,000 ids
 
     def fitted(batches):
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["order"], r["text"]))
