@@ -33,6 +33,7 @@ PATTERNS = {
 #: A token with a digit or @, and numeric groups that follow it.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[0-9(][0-9().-]*+)*+"
 LEAST_SEEDS, LEAST_CONFIDENCE, ROUNDS = 3, 0.5, 3
+SLOTS = 1 << 17
 
 
 def let(value: Column, body) -> Column:
@@ -148,9 +149,15 @@ def _corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words = F.split(fold(F.trim(F.col("text"))), r"\s+")
     pairs = let(words, lambda w: F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))))
-    rows = whole_text(docs).select(F.explode(pairs).alias("ctx"))
+    # one byte per slot of the hash, set where a wanted pair lies: at most SLOTS numbers reach the driver, and most pairs go no further
+    slot = lambda c: F.pmod(c, F.lit(SLOTS)).cast("int")
+    mask = bytearray(SLOTS)
+    for r in wanted.select(slot(F.col("ctx")).alias("slot")).distinct().collect():
+        mask[r["slot"]] = 1
+    maybe = F.substring(F.lit(bytes(mask)), slot(F.col("ctx")) + 1, F.lit(1)) == F.lit(b"\x01")
+    rows = whole_text(docs).select(F.explode(pairs).alias("ctx")).filter(maybe)
     # partial sums first: a pair of words that is everywhere reaches the shuffle once per task
-    return rows.join(wanted, "ctx", "left_semi").groupBy("ctx").agg(F.count("*").alias("total"))
+    return rows.groupBy("ctx").agg(F.count("*").alias("total")).join(wanted, "ctx", "left_semi")
 
 
 def bootstrap(docs: DataFrame, found: DataFrame) -> DataFrame:

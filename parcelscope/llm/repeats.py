@@ -29,47 +29,60 @@ from parcelscope.llm.common import cut, whole_text
 
 LENGTH, GRAM, SYMBOL = 100, 32, 25
 #: Distinct pieces that one group of anchors holds on average.
-GROUP_PIECES = 20_000
+GROUP_PIECES = 4_000
 #: Pieces of one anchor beyond this number are dealt by their windows' content instead.
 HOT = 20_000
-SHARD_PIECES = 10_000
+SHARD_PIECES = 2_000
+
+
+#: A random number per byte, and an odd multiplier per doubling.
+_BYTE = np.random.Generator(np.random.PCG64(11)).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
+#: Texts are looked at in stretches of so many windows; positions within one fit POSITION bits.
+STRETCH, POSITION = 1 << 20, 21
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position, by doubling."""
-    def fold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
-        return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-
-    h, width = data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15), 1
+    h, width, level = _BYTE[data], 1, 0
     while width < gram:
         step = min(width, gram - width)
         if len(h) <= step:
             return np.zeros(0, dtype=np.uint64)
-        h, width = fold(h[:-step], h[step:]), width + step
-    return h ^ (h >> np.uint64(31))
+        h, width, level = h[:-step] * np.uint64(_TIMES[level]) + h[step:], width + step, level + 1
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of all windows of ``length`` bytes: hash, position, first and last window start.
 
-    The least hash is taken, the leftmost among equal ones.
+    The least hash is taken, by its upper bits and then the leftmost.
     """
     n = len(data) - length + 1
-    if n <= 0:
+    found = [_anchors(data[a : a + STRETCH + length - 1], length, gram, a) for a in range(0, n, STRETCH)]
+    if not found:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+    h, at, first, last = map(np.concatenate, zip(*found, strict=True))
+    same = np.flatnonzero(at[1:] == at[:-1])  # an anchor on both sides of a border is one
+    if len(same):
+        last[same] = last[same + 1]
+        h, at, first, last = (np.delete(x, same + 1) for x in (h, at, first, last))
+    return h, at, first, last
+
+
+def _anchors(data: np.ndarray, length: int, gram: int, offset: int):
     h = gram_hashes(data, gram)
-    span = length - gram + 1
-    # least of each run of ``span`` hashes by doubling; the position goes along
-    best, at, width = h, np.arange(len(h), dtype=np.int32), 1
-    while width < span:
+    span, low = length - gram + 1, np.uint64(POSITION)
+    best, width = (h >> low << low) | np.arange(len(h), dtype=np.uint64), 1
+    while width < span:  # least of each run of ``span`` hashes by doubling
         step = min(width, span - width)
-        a, b = best[:-step], best[step:]
-        right = b < a
-        best, at, width = np.where(right, b, a), np.where(right, at[step:], at[:-step]), width + step
+        best, width = np.minimum(best[:-step], best[step:]), width + step
+    at = (best & np.uint64((1 << POSITION) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:], [n]]) - 1
-    return best[first], at[first].astype(np.int64), first.astype(np.int64), last.astype(np.int64)
+    last = np.concatenate([first[1:], [len(at)]]) - 1
+    return h[at[first]], at[first] + offset, first + offset, last + offset
 
 
 def stable_order(x: np.ndarray) -> np.ndarray:
@@ -172,6 +185,12 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
+def _record(parts: list[tuple], ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    """Rows of several documents; the third column's places become their ids."""
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(c)) if k == 2 else pa.array(c) for k, c in enumerate(columns)], names)
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Anchor occurrences: ``h`` (anchor), ``piece`` (hash of its bytes), document, first window start and further ones."""
     text = whole_text(docs)
@@ -180,8 +199,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def mapped(batches):
         import zlib
 
+        names = ["h", "piece", "doc_id", "crc", "first", "more"]
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, parts, size = batch.column("doc_id"), [], 0
             for i, t in enumerate(batch.column("text")):
                 raw = t.as_py().encode()
                 data = np.frombuffer(raw, dtype=np.uint8)
@@ -190,11 +210,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     continue
                 whole = gram_hashes(data, LENGTH)  # first and last window together are the piece
                 mixed = (whole[first] * np.uint64(3) + (at - first).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) ^ whole[last] + (last - first).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(mixed.view(np.int64)), ids.take(pa.array(np.full(len(h), i))), pa.array(np.full(len(h), zlib.crc32(raw), dtype=np.int64)),
-                     pa.array(first), pa.array((last - first).astype(np.int32))],
-                    ["h", "piece", "doc_id", "crc", "first", "more"],
-                )
+                parts.append((h.view(np.int64), mixed.view(np.int64), np.full(len(h), i), np.full(len(h), zlib.crc32(raw)), first, (last - first).astype(np.int32)))
+                size += len(h)
+                if size > 1 << 17:
+                    yield _record(parts, ids, names)
+                    parts, size = [], 0
+            if parts:
+                yield _record(parts, ids, names)
 
     return text.mapInArrow(mapped, f"h long, piece long, doc_id {kind}, crc long, first long, more int")
 
@@ -228,22 +250,27 @@ def _merged(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         names = ["g", "doc_id", "crc", "first", "bytes"]
         for batch in batches:
             ids = batch.column("doc_id")
+            row, g, first, part, crcs = [], [], [], [], []
             for i in range(batch.num_rows):
-                raw, crc = batch.column("text")[i].as_py().encode(), batch.column("crc")[i].as_py()
-                g, first, part = [], [], []
-                for p in batch.column("pieces")[i].as_py():
-                    if p["hot"]:  # window by window, dealt by content, so that no anchor's pieces need one task
-                        for s in range(p["first"], p["first"] + p["more"] + 1):
-                            w = raw[s : s + LENGTH]
-                            g.append(int(gram_hashes(np.frombuffer(w, dtype=np.uint8), LENGTH)[0]) % groups)
-                            first.append(s)
-                            part.append(w)
+                raw, crc, own = batch.column("text")[i].as_py().encode(), batch.column("crc")[i].as_py(), batch.column("pieces")[i].values
+                at, more, hot = own.field("first").to_pylist(), own.field("more").to_pylist(), own.field("hot").to_pylist()
+                deal = (own.field("h").to_numpy().view(np.uint64) % np.uint64(groups)).tolist()
+                for p, m, each, to in zip(at, more, hot, deal, strict=True):
+                    if each:  # window by window, dealt by content, so that no anchor's pieces need one task
+                        whole = gram_hashes(np.frombuffer(raw[p : p + m + LENGTH], dtype=np.uint8), LENGTH) % np.uint64(groups)
+                        g += whole.tolist()
+                        first += range(p, p + m + 1)
+                        part += [raw[s : s + LENGTH] for s in range(p, p + m + 1)]
                     else:
-                        g.append((p["h"] & 0xFFFFFFFFFFFFFFFF) % groups)
-                        first.append(p["first"])
-                        part.append(raw[p["first"] : p["first"] + p["more"] + LENGTH])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g, pa.int64()), ids.take(pa.array([i] * len(g), pa.int64())), pa.array([crc] * len(g), pa.int64()), pa.array(first, pa.int64()), pa.array(part, pa.binary())], names)
+                        g.append(to)
+                        first.append(p)
+                        part.append(raw[p : p + m + LENGTH])
+                row += [i] * (len(g) - len(row))
+                crcs += [crc] * (len(g) - len(crcs))
+                if len(g) > 1 << 15 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g, pa.int64()), ids.take(pa.array(row, pa.int64())), pa.array(crcs, pa.int64()), pa.array(first, pa.int64()), pa.array(part, pa.binary())], names)
+                    row, g, first, part, crcs = [], [], [], [], []
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "crc", "first"], na_position="last", kind="stable").reset_index(drop=True)
@@ -292,13 +319,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return rows.selectExpr("doc_id", "n_bytes", "if(again, n_bytes, n_removed) n_removed", "if(again, 1L, n_spans) n_spans", "if(again, sha2('', 256), kept_sha256) kept_sha256")
 
 
-def kept_bytes(raw: bytes, marks) -> tuple[bytes, int, int]:
+def kept_bytes(raw: bytes, marks: pa.ListScalar) -> tuple[bytes, int, int]:
     """What is left of a text, how many bytes went and in how many runs."""
-    marks = marks.as_py() if hasattr(marks, "as_py") else marks
-    if not marks:
+    if not marks.is_valid or not len(marks):
         return raw, 0, 0
-    change = np.zeros(len(raw) + 1, dtype=np.int32)
-    np.add.at(change, np.array([m["low"] for m in marks]), 1)
-    np.add.at(change, np.array([m["high"] + LENGTH for m in marks]), -1)
+    n = len(raw) + 1
+    change = np.bincount(marks.values.field("low").to_numpy(), minlength=n) - np.bincount(marks.values.field("high").to_numpy() + LENGTH, minlength=n)
     gone = np.cumsum(change)[:-1] > 0
     return np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes(), int(gone.sum()), len(runs(gone)[0])
