@@ -157,7 +157,8 @@ def _corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     maybe = F.substring(F.lit(bytes(mask)), slot(F.col("ctx")) + 1, F.lit(1)) == F.lit(b"\x01")
     rows = whole_text(docs).select(F.explode(pairs).alias("ctx")).filter(maybe)
     # partial sums first: a pair of words that is everywhere reaches the shuffle once per task
-    return rows.groupBy("ctx").agg(F.count("*").alias("total")).join(wanted, "ctx", "left_semi")
+    # an inner join, which stays above the sums (a semi-join is pushed below them, to every row)
+    return rows.groupBy("ctx").agg(F.count("*").alias("total")).join(wanted, "ctx")
 
 
 def bootstrap(docs: DataFrame, found: DataFrame) -> DataFrame:
