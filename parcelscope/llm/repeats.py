@@ -187,8 +187,28 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _record(parts: list[tuple], ids: pa.Array, names: list[str]) -> pa.RecordBatch:
     """Rows of several documents; the third column's places become their ids."""
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(c)) if k == 2 else pa.array(c) for k, c in enumerate(columns)], names)
+    *plain, again = zip(*parts, strict=True)
+    columns = [np.concatenate(c) for c in plain]
+    lists = pa.array([x for own in again for x in own], pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
+    return pa.RecordBatch.from_arrays([*(ids.take(pa.array(c)) if k == 2 else pa.array(c) for k, c in enumerate(columns)), lists], names)
+
+
+def own_repeats(piece: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, list]:
+    """Within a document: the places of each piece's first occurrence, and for each the window starts of the others, as intervals.
+
+    A line repeated thousands of times is one row per document and anchor when it is dealt.
+    """
+    _, place, which = np.unique(piece, return_index=True, return_inverse=True)
+    if len(place) == len(piece):
+        return np.arange(len(piece)), [None] * len(piece)
+    again: list = [None] * len(place)
+    for k in np.setdiff1d(np.arange(len(piece)), place):
+        own = again[which[k]] = again[which[k]] or []
+        if own and own[-1]["high"] + 1 == first[k]:
+            own[-1]["high"] = int(last[k])
+        else:
+            own.append({"low": int(first[k]), "high": int(last[k])})
+    return place, again
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -199,7 +219,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def mapped(batches):
         import zlib
 
-        names = ["h", "piece", "doc_id", "crc", "first", "more"]
+        names = ["h", "piece", "doc_id", "crc", "first", "more", "again"]
         for batch in batches:
             ids, parts, size = batch.column("doc_id"), [], 0
             for i, t in enumerate(batch.column("text")):
@@ -210,15 +230,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     continue
                 whole = gram_hashes(data, LENGTH)  # first and last window together are the piece
                 mixed = (whole[first] * np.uint64(3) + (at - first).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) ^ whole[last] + (last - first).astype(np.uint64)
-                parts.append((h.view(np.int64), mixed.view(np.int64), np.full(len(h), i), np.full(len(h), zlib.crc32(raw)), first, (last - first).astype(np.int32)))
-                size += len(h)
+                keep, again = own_repeats(mixed, first, last)
+                parts.append((h.view(np.int64)[keep], mixed.view(np.int64)[keep], np.full(len(keep), i), np.full(len(keep), zlib.crc32(raw)), first[keep], (last - first).astype(np.int32)[keep], again))
+                size += len(keep)
                 if size > 1 << 17:
                     yield _record(parts, ids, names)
                     parts, size = [], 0
             if parts:
                 yield _record(parts, ids, names)
 
-    return text.mapInArrow(mapped, f"h long, piece long, doc_id {kind}, crc long, first long, more int")
+    return text.mapInArrow(mapped, f"h long, piece long, doc_id {kind}, crc long, first long, more int, again array<struct<low:long,high:long>>")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -230,10 +251,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         f"rank() over (partition by {own} order by doc_id nulls last, crc, first) = 1 earliest",
     )
     # occurrences of equal pieces are one string of the collection, represented by the earliest; the others repeat all of it
-    facts = facts.filter("n > 1 and (several or not earliest)").selectExpr("if(earliest, h, null) h", "doc_id", "crc", "first", "more")
-    kept = cut(facts, "repeats_anchors")
-    whole = kept.filter("h is null").selectExpr("doc_id", "crc", "first low", "first + more high")
-    return whole.unionByName(_merged(docs, kept.filter("h is not null")))
+    facts = facts.filter("n > 1 and (several or not earliest) or again is not null")
+    kept = cut(facts.selectExpr("if(n > 1 and several and earliest, h, null) h", "n > 1 and not earliest whole", "doc_id", "crc", "first", "more", "again"), "repeats_anchors")
+    whole = kept.filter("whole").selectExpr("doc_id", "crc", "first low", "first + more high")
+    inner = kept.filter("again is not null").selectExpr("doc_id", "crc", "inline(again)")
+    return whole.unionByName(inner).unionByName(_merged(docs, kept.filter("h is not null").select("h", "doc_id", "crc", "first", "more")))
 
 
 def _merged(docs: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -209,6 +209,8 @@ def test_repeats(spark, docs, given, edge):
     expect(repeats.remove_repeats(docs), repeats_brute(given))
     expect(repeats.remove_repeats(edge), repeats_brute(EDGE))
     expect(repeats.remove_repeats(frame(spark, mixed())), repeats_brute(mixed()))
+    lines = [(i, "los " * (40 + 31 * i) + LINE * (i % 3) + "x los" * 50 * (i % 2)) for i in range(12)]
+    expect(repeats.remove_repeats(frame(spark, lines)), repeats_brute(lines))
 
 
 def test_repeats_hot_anchor_and_many_groups(spark, monkeypatch):
