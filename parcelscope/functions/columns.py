@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,14 +72,28 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(inside))
 
 
-# fixed values: accented capitals and their plain forms
-_ACCENTED = "ÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUY"
+def _plain(ch: str) -> str:
+    """Compatibility decomposition without combining marks."""
+    return "".join(p for p in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(p))
+
+
+# every character of the basic plane that decomposes to one ASCII letter or digit, and the marks that are dropped
+_FOLD = {ch: p for ch in map(chr, range(0x80, 0xFFFF)) if len(p := _plain(ch)) == 1 and p.isascii() and p.isalnum()}
+_MARKS = "".join(ch for ch in map(chr, range(0x300, 0x370)) if unicodedata.combining(ch))
+_ACCENTED, _PLAIN = "".join(_FOLD) + _MARKS, "".join(_FOLD.values())
+# ligatures and digraphs of two or three letters
+_WIDE = {ch: p for ch in map(chr, [*range(0xC0, 0x250), *range(0xFB00, 0xFB07)]) if len(p := _plain(ch)) > 1 and p.isascii() and p.isalpha()}
 
 
 def norm_text(x) -> Column:
-    """Upper case without accents; runs of other characters become one space; '' becomes NULL."""
-    t = F.translate(F.upper(c(x).cast("string")), _ACCENTED, _PLAIN)
+    """Upper case without accents; runs of other characters become one space; '' becomes NULL.
+
+    Accents go first and the case is changed after that, as ordinals and ligatures fold to small letters.
+    """
+    t = F.translate(c(x).cast("string"), _ACCENTED, _PLAIN)
+    for ch, p in _WIDE.items():
+        t = F.replace(t, F.lit(ch), F.lit(p))
+    t = F.upper(t)
     t = F.trim(F.regexp_replace(t, "[^A-Z0-9]+", " "))
     return F.when(t != "", t)
 

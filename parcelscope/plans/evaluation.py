@@ -151,18 +151,19 @@ def _named(t):
 
 @query("k10_bootstrap_interval")
 def _(t):
-    return inf.bootstrap_interval(t.spark, _named(t), reps=2000)
+    return inf.bootstrap_interval(t.spark, _named(t))
 
 
 @query("k11_block_bootstrap")
 def _(t):
     n = _named(t)
-    return union([inf.bootstrap_interval(t.spark, n, reps=2000, block=b, circular=c).withColumn("circular", F.lit(c)) for b, c in ((3, False), (3, True), (6, True))])
+    return union([inf.bootstrap_interval(t.spark, n, block=b, circular=c).withColumn("circular", F.lit(c)) for b in (2, 3, 4) for c in (False, True)])
 
 
 @query("k12_max_t_band")
 def _(t):
-    return inf.max_t_band(t.spark, _named(t))
+    n = _named(t)
+    return union([inf.max_t_band(t.spark, n, block=b).withColumn("block", F.lit(b)) for b in (2, 3, 4)])
 
 
 @query("k13_deletion_robustness", " union all ".join(f"""select {k} removed, x."month" first_removed, round((select sum(delta) from {_DEL}) / 1.0 - s, 9) mean_x, round(((select sum(delta) from {_DEL}) - s) / ((select count(*) from {_DEL}) - {k}), 6) mean_delta
@@ -171,17 +172,12 @@ def _(t):
     return inf.deletion_robustness(deltas(t), [1, 2, 3]).withColumn("mean_delta", rnd("mean_delta"))
 
 
-def _yearly(t):
-    return deltas(t).groupBy(F.substring("month", 1, 4).alias("month")).agg(rnd(F.avg("delta"), 9).alias("delta"))
-
-
-_YEAR = f"""(select substring("month", 1, 4) yr, round(avg(delta), 9) delta from {_DEL} group by 1)"""
-
-
-@query("k14_sign_flip", f"""with d as (select row_number() over (order by yr) - 1 i, delta from {_YEAR}), n as (select count(*) n, abs(sum(delta)) obs from d), f as (select id, sum(case when (id >> i) & 1 = 1 then abs(delta) else -abs(delta) end) s from range(0, (select cast(power(2, n) as bigint) from n)) r(id), d group by 1)
+@query("k14_sign_flip", f"""with d as (select row_number() over (order by "month") - 1 i, round(delta, 9) delta from {_DEL}), n as (select count(*) n, abs(sum(delta)) obs from d),
+ x as (select id, delta, ((((id * 1597334677 + i * 3812015801 + 7) % 2147483648) * 1103515 + 12345) % 2147483648 * 1103515 + 12345) % 2147483648 v from range(0, 50000) r(id), d),
+ f as (select id, sum(case when (v >> 20) & 1 = 1 then abs(delta) else -abs(delta) end) s from x group by 1)
 select any_value(n) n, count(*) patterns, round(avg(cast(abs(s) >= obs - 1e-12 as int)), 6) p_value from f, n""")
 def _(t):
-    return inf.sign_flip(t.spark, inf.series(_yearly(t)))
+    return inf.sign_flip(t.spark, inf.series(deltas(t).select("month", rnd("delta", 9).alias("delta"))))
 
 
 @query("k15_sign_test")

@@ -18,7 +18,7 @@ def _l(k):
 shared("o_log", f"""select *, {_l('seller_freight')} log_freight, {_l('distance_km')} log_distance, {_l('seller_weight_g')} log_weight, {_l('seller_volume_cm3')} log_volume, {_l('seller_price')} log_price from o_routes""")
 shared("o_months", "select year_month ym, row_number() over (order by year_month) i from (select distinct year_month from o_routes)")
 shared("o_f0", "select ym, count(log_freight) n_train, median(log_freight) med from o_months join o_log on year_month < ym where i > 3 group by 1")
-shared("o_exp", """select order_id, year_month, case when count(p) > 0 then sum(p) end expected_freight_oot, sum(seller_freight) total_freight, sum(seller_price) total_price
+shared("o_exp", """select order_id, year_month, cast(sum(cast(round(p, 6) as decimal(28, 6))) as double) expected_freight_oot, cast(sum(cast(round(seller_freight, 6) as decimal(28, 6))) as double) total_freight, cast(sum(cast(round(seller_price, 6) as decimal(28, 6))) as double) total_price
  from (select *, case when med is not null then greatest(0, exp(med) - 1) end p from o_log left join o_f0 on ym = year_month) group by 1, 2""")
 _E = "1e-8::double"
 shared("o_fric", f"""select e.*, k.late, freight_burden / 1.0 b0, ln((total_freight + {_E}) / (expected_freight_oot + {_E})) freight_log_ratio, total_freight / expected_freight_oot freight_expected_ratio,
@@ -87,11 +87,12 @@ def _(t):
     return fr.order_expected(scored).select("order_id", "year_month", rnd("expected_freight_oot").alias("expected_freight_oot"))
 
 
-@query("i6_order_expected", """select order_id, year_month, round(expected_freight_oot, 5) expected_freight_oot, round(total_freight, 5) total_freight, round(total_freight - expected_freight_oot, 5) freight_residual,
+@query("i6_order_expected", """select order_id, year_month, round(expected_freight_oot, 6) expected_freight_oot, round(total_freight, 6) total_freight, round(total_freight - expected_freight_oot, 6) freight_residual,
  round(case when expected_freight_oot > 0 then total_freight / expected_freight_oot end, 6) freight_ratio_to_expected from o_exp""")
 def _(t):
-    r5 = ("expected_freight_oot", "total_freight", "freight_residual")
-    return expected(t).select("order_id", "year_month", *[rnd(k, 5).alias(k) for k in r5], rnd("freight_ratio_to_expected").alias("freight_ratio_to_expected"))
+    # sums have six decimals; fewer would round ties
+    r6 = ("expected_freight_oot", "total_freight", "freight_residual")
+    return expected(t).select("order_id", "year_month", *[rnd(k).alias(k) for k in r6], rnd("freight_ratio_to_expected").alias("freight_ratio_to_expected"))
 
 
 @query("i7_regression_metrics", """select count(*) n_rows, count(e) n, round(avg(abs(e)), 6) mae, round(sqrt(avg(e*e)), 6) rmse, round(1 - sum(e*e) / (var_pop(total_freight) filter (e is not null) * count(e)), 6) r2,

@@ -255,16 +255,18 @@ def _curves(t):
     return t.stage("curves", lambda: pit.lag_curves(_curve_events(t), _targets(t), ["volume", "freight_cents"]))
 
 
-@query("g6_volume_curve", "select order_id, cast(sum(volume) as bigint) total_90, cast(sum(volume * (lag + 1)) as bigint) lag_moment, max(volume) peak from o_curve group by 1")
+@query("g6_volume_curve", """select k.order_id, cast(coalesce(sum(volume), 0) as bigint) total_90, cast(coalesce(sum(volume * (lag + 1)), 0) as bigint) lag_moment, coalesce(max(volume), 0) peak
+from o_task k left join o_curve using (order_id) group by 1""")
 def _(t):
     return _curves(t).groupBy("order_id").agg(F.sum("volume").alias("total_90"), F.sum(F.col("volume") * (F.col("lag") + 1)).alias("lag_moment"),
-                                              F.max("volume").alias("peak")).filter("total_90 > 0")
+                                              F.max("volume").alias("peak"))
 
 
-@query("g7_freight_curve_by_month", "select purchase_month, lag, cast(sum(volume) as bigint) volume, cast(sum(freight_cents) as bigint) freight_cents from o_curve group by 1, 2")
+@query("g7_freight_curve_by_month", """select m.purchase_month, l.lag, cast(coalesce(sum(volume), 0) as bigint) volume, cast(coalesce(sum(freight_cents), 0) as bigint) freight_cents
+from (select distinct purchase_month from o_task) m cross join (select cast(i as int) lag from range(0, 90) r(i)) l left join o_curve c on c.purchase_month = m.purchase_month and c.lag = l.lag group by 1, 2""")
 def _(t):
     m = x.month_key(F.timestamp_micros("t0")).alias("purchase_month")
-    return _curves(t).groupBy(m, "lag").agg(F.sum("volume").alias("volume"), F.sum("freight_cents").alias("freight_cents")).filter("volume > 0")
+    return _curves(t).groupBy(m, "lag").agg(F.sum("volume").alias("volume"), F.sum("freight_cents").alias("freight_cents"))
 
 
 @query("g8_window_totals", """select k.order_id, cast(coalesce(sum(volume) filter (lag < 30), 0) as bigint) v30, cast(coalesce(sum(volume) filter (lag < 60), 0) as bigint) v60, cast(coalesce(sum(volume), 0) as bigint) v90, 1 nested

@@ -50,10 +50,10 @@ def _(t):
     return geo.zip_centroids(t.geolocation).select("zip", "n_points", *r)
 
 
-@query("h3_norm_text", """select customer_id, nullif(trim(regexp_replace(upper(strip_accents(s)), '[^A-Z0-9]+', ' ', 'g')), '') name from
- (select customer_id, case when customer_id % 31 = 0 then ' - ' when customer_id % 5 = 0 then 'São ' || customer_city || '-Açu (2)' else customer_city end s from e_customers)""")
+@query("h3_norm_text", """select customer_id, nullif(trim(regexp_replace(upper(strip_accents(translate(s, 'ºª', 'oa'))), '[^A-Z0-9]+', ' ', 'g')), '') name from
+ (select customer_id, case when customer_id % 31 = 0 then ' - ' when customer_id % 5 = 0 then 'São ' || customer_city || '-Açu (2)' when customer_id % 7 = 0 then 'Nº 1ª Škoda ' || customer_city || ' Ÿ' else customer_city end s from e_customers)""")
 def _(t):
-    s = F.expr("case when customer_id % 31 = 0 then ' - ' when customer_id % 5 = 0 then concat('São ', customer_city, '-Açu (2)') else customer_city end")
+    s = F.expr("case when customer_id % 31 = 0 then ' - ' when customer_id % 5 = 0 then concat('São ', customer_city, '-Açu (2)') when customer_id % 7 = 0 then concat('Nº 1ª Škoda ', customer_city, ' Ÿ') else customer_city end")
     return t.customers.select("customer_id", x.norm_text(s).alias("name"))
 
 
