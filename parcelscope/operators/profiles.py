@@ -101,3 +101,12 @@ def identifier_cardinality(df: DataFrame, columns: list[str], table: str) -> Dat
     return g.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"), F.count("v").alias("distinct_values"),
         rnd(F.count("v") / F.sum("n")).alias("unique_ratio")).withColumn("table_name", F.lit(table))
+
+
+def near_constant(df: DataFrame, columns: list[str], table: str, limit_pct: float) -> DataFrame:
+    """Variables with at most one value, or whose most frequent value has at least ``limit_pct`` percent of the non-null rows."""
+    d = ranks.distinct_counts(ranks.melt(df, [], columns), ["variable"], "value").groupBy("variable")
+    share = 100.0 * F.max("_n") / F.sum("_n")
+    d = d.agg(F.count(F.lit(1)).alias("distinct_n"), share.alias("s"))
+    flag = (F.col("distinct_n") <= 1) | (F.col("s") >= limit_pct)
+    return d.select(F.lit(table).alias("table_name"), "variable", "distinct_n", rnd("s").alias("dominant_pct"), flag.cast("int").alias("near_constant"))

@@ -14,15 +14,24 @@ from pyspark.sql import functions as F
 from parcelscope.functions.columns import c
 
 _WIDE = 1024
+#: Distinct values that a bucket holds on average where a cell is cut again.
+_DENSE = 1000
+_TOP = 1 << 40
+
+
+def _finite(v):
+    v = c(v).cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
 
 
 def value_bucket(v, lo, hi):
-    """Monotone bucket of a number: equal-width cell first, then sixteenth-octave of its size."""
+    """Monotone cell of a number: equal-width first, then sixteenth-octave of its size; infinities and NaN have cells of their own."""
     v, lo, hi = (c(x).cast("double") for x in (v, lo, hi))
     wide = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * _WIDE), F.lit(_WIDE))).otherwise(F.lit(0))
     size = F.floor(F.log2(F.abs(v)) * 16) + 20000
     fine = F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size)
-    return (wide * 100000 + fine + 40000).cast("long")
+    odd = F.when(F.isnan(v), F.lit(_TOP + 1)).when(v == float("inf"), F.lit(_TOP)).when(v == float("-inf"), F.lit(-_TOP))
+    return F.coalesce(odd, (wide * 100000 + fine + 40000).cast("long"))
 
 
 def with_one_row(df: DataFrame, one: DataFrame, name: str = "_one") -> DataFrame:
@@ -45,8 +54,13 @@ def distinct_counts(df: DataFrame, keys: list[str], value: str, **sums) -> DataF
 
 
 def _bucketed(d: DataFrame, keys: list[str], value: str, measures: list[str]):
-    span = d.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    b = attach(d, span, keys).withColumn("_b", value_bucket(value, "_lo", "_hi")).drop("_lo", "_hi")
+    span = d.groupBy(*keys).agg(F.min(_finite(value)).alias("_lo"), F.max(_finite(value)).alias("_hi"))
+    cells = attach(d, span, keys).withColumn("_cell", value_bucket(value, "_lo", "_hi")).drop("_lo", "_hi")
+    # a cell with many values is cut again between its own bounds: one far value or a dense range leaves no large bucket,
+    # and the number of buckets follows the number of values
+    inner = cells.groupBy(*keys, "_cell").agg(F.min(_finite(value)).alias("_lo"), F.max(_finite(value)).alias("_hi"), F.ceil(F.count(F.lit(1)) / _DENSE).alias("_parts"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((c(value).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1))
+    b = cells.join(inner, [*keys, "_cell"]).withColumn("_b", F.struct("_cell", F.coalesce(part, F.lit(0)).cast("long").alias("_part"))).drop("_cell", "_lo", "_hi", "_parts")
     per = b.groupBy(*keys, "_b").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     w = Window.partitionBy(*keys).orderBy("_b") if keys else Window.orderBy("_b")
     before = w.rowsBetween(Window.unboundedPreceding, -1)

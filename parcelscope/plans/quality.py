@@ -23,14 +23,21 @@ def _check(name, expr, source, bad="FAIL"):
 ENT = ["orders", "items", "customers", "sellers", "products", "payments", "reviews", "geolocation", "translation"]
 
 
-@query("d1_row_count_checks", " union all ".join(
-    f"select 'ROW_COUNT__{n}' check_name, 'PASS' status, cast(count(*) as varchar) observed, cast(count(*) as varchar) expected from e_{n}" for n in ENT))
+def _counts(kind):
+    status = "case when n = m then 'PASS' else 'FAIL' end"
+    return " union all ".join(f"select '{kind}_ROW_COUNT__{n}' check_name, {status} status, cast(n as varchar) observed, cast(m as varchar) expected from (select count(*) n, (select count(*) from e_{n}) m from e_{n})" for n in ENT)
+
+
+@query("d1_row_count_checks", f"{_counts('BRONZE')} union all {_counts('SILVER')}")
 def _(t):
+    """Bronze rows against the inventory of the source, typed silver rows against bronze."""
+    inventory = bronze.table_inventory({n: getattr(t, n) for n in ENT})
     out = []
     for n in ENT:
-        df = getattr(t, n)
-        silver = bronze.to_bronze(df, n).drop("_source_file")
-        out.append(q.equal_check(f"ROW_COUNT__{n}", q.row_count(silver), q.row_count(df)))
+        raw = bronze.to_bronze(getattr(t, n), n)
+        listed = inventory.filter(F.col("table_name") == n).select(F.col("n_rows").alias("n"))
+        out.append(q.equal_check(f"BRONZE_ROW_COUNT__{n}", q.row_count(raw), listed))
+        out.append(q.equal_check(f"SILVER_ROW_COUNT__{n}", q.row_count(bronze.silver_type(raw, {"items": "order_items", "translation": "product_category_translation"}.get(n, n))), q.row_count(raw)))
     return q.union(out)
 
 
@@ -261,14 +268,21 @@ def _(t):
     return q.union([profiles.numeric_profile(getattr(t, a), cs, a) for a, cs in _NUM.items()])
 
 
-@query("d24_near_constant", """select variable, cast(p = q and dominant_pct > 10 as int) near_constant from (
- select 'product_height_cm' variable, quantile_cont(product_height_cm, .25) p, quantile_cont(product_height_cm, .3) q, 100.0 * (select max(k) from (select count(*) k from e_products group by product_height_cm)) / count(*) dominant_pct from e_products
- union all select 'product_photos_qty', quantile_cont(product_photos_qty, .25), quantile_cont(product_photos_qty, .3), 100.0 * (select max(k) from (select count(*) k from e_products group by product_photos_qty)) / count(*) from e_products)""")
+#: Percent of non-null values from which a dominant value makes a variable near-constant (a parameter of the contract).
+NEAR_CONSTANT_PCT = 95.0
+
+
+def _near_sql(tab, col):
+    return f"""select '{tab}' table_name, '{col}' variable, count(*) distinct_n, round(100.0::double * max(k) / sum(k), 6) dominant_pct, cast(count(*) <= 1 or 100.0::double * max(k) / sum(k) >= {NEAR_CONSTANT_PCT} as int) near_constant
+ from (select {col} v, count(*) k from e_{tab} where {col} is not null group by 1)"""
+
+
+_NEAR = {**_NUM, "items": [*_NUM["items"], "order_item_id"], "payments": ["payment_sequential", "payment_value"]}
+
+
+@query("d24_near_constant", " union all ".join(_near_sql(a, b) for a, cs in _NEAR.items() for b in cs))
 def _(t):
-    long = ranks.melt(t.products, [], ["product_height_cm", "product_photos_qty"])
-    d = ranks.distinct_counts(long, ["variable"], "value").groupBy("variable").agg((100.0 * F.max("_n") / F.sum("_n")).alias("dom"))
-    qs = ranks.exact_quantiles(long, ["variable"], "value", {"p": .25, "q": .3})
-    return qs.join(d, "variable").select("variable", ((F.col("p") == F.col("q")) & (F.col("dom") > 10)).cast("int").alias("near_constant"))
+    return q.union([profiles.near_constant(getattr(t, a), cs, a, NEAR_CONSTANT_PCT) for a, cs in _NEAR.items()])
 
 
 def _cat_sql(tab, col):

@@ -44,12 +44,6 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df):
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _STAGED: dict = {}
 
 

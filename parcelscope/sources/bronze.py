@@ -10,35 +10,36 @@ from pyspark.sql import types as T
 
 from parcelscope.functions.columns import not_blank
 
-# fixed values: column types of the typed entities (S text, L bigint, D double, T timestamp)
+# fixed values: column types of the typed entities
 SILVER_TYPES: dict[str, dict[str, str]] = {
-    "orders": dict(order_id="S", customer_id="S", order_status="S", order_purchase_timestamp="T",
-                   order_approved_at="T", order_delivered_carrier_date="T",
-                   order_delivered_customer_date="T", order_estimated_delivery_date="T"),
-    "order_items": dict(order_id="S", order_item_id="L", product_id="S", seller_id="S",
-                        shipping_limit_date="T", price="D", freight_value="D"),
-    "customers": dict(customer_id="S", customer_unique_id="S", customer_zip_code_prefix="S",
-                      customer_city="S", customer_state="S"),
-    "sellers": dict(seller_id="S", seller_zip_code_prefix="S", seller_city="S", seller_state="S"),
-    "products": dict(product_id="S", product_category_name="S", product_name_lenght="L",
-                     product_description_lenght="L", product_photos_qty="L", product_weight_g="D",
-                     product_length_cm="D", product_height_cm="D", product_width_cm="D"),
-    "payments": dict(order_id="S", payment_sequential="L", payment_type="S", payment_installments="L",
-                     payment_value="D"),
-    "reviews": dict(review_id="S", order_id="S", review_score="L", review_comment_title="S",
-                    review_comment_message="S", review_creation_date="T", review_answer_timestamp="T"),
-    "geolocation": dict(geolocation_zip_code_prefix="S", geolocation_lat="D", geolocation_lng="D",
-                        geolocation_city="S", geolocation_state="S"),
-    "product_category_translation": dict(product_category_name="S", product_category_name_english="S"),
+    "orders": dict(order_id="string", customer_id="string", order_status="string", order_purchase_timestamp="timestamp_ntz",
+                   order_approved_at="timestamp_ntz", order_delivered_carrier_date="timestamp_ntz",
+                   order_delivered_customer_date="timestamp_ntz", order_estimated_delivery_date="timestamp_ntz"),
+    "order_items": dict(order_id="string", order_item_id="bigint", product_id="string", seller_id="string",
+                        shipping_limit_date="timestamp_ntz", price="double", freight_value="double"),
+    "customers": dict(customer_id="string", customer_unique_id="string", customer_zip_code_prefix="string",
+                      customer_city="string", customer_state="string"),
+    "sellers": dict(seller_id="string", seller_zip_code_prefix="string", seller_city="string", seller_state="string"),
+    "products": dict(product_id="string", product_category_name="string", product_name_lenght="bigint",
+                     product_description_lenght="bigint", product_photos_qty="bigint", product_weight_g="double",
+                     product_length_cm="double", product_height_cm="double", product_width_cm="double"),
+    "payments": dict(order_id="string", payment_sequential="bigint", payment_type="string", payment_installments="bigint",
+                     payment_value="double"),
+    "reviews": dict(review_id="string", order_id="string", review_score="bigint", review_comment_title="string",
+                    review_comment_message="string", review_creation_date="timestamp_ntz", review_answer_timestamp="timestamp_ntz"),
+    "geolocation": dict(geolocation_zip_code_prefix="string", geolocation_lat="double", geolocation_lng="double",
+                        geolocation_city="string", geolocation_state="string"),
+    "product_category_translation": dict(product_category_name="string", product_category_name_english="string"),
 }
-_SQL_TYPE = {"S": "string", "L": "bigint", "D": "double", "T": "timestamp_ntz"}
+#: Entities whose text fields hold line breaks; files of all others can be split.
+_BROKEN_LINES = {"reviews"}
 
 
 def bronze_scan(spark: SparkSession, path: str, entity: str) -> DataFrame:
     """Header CSV as strings with the source file name; a byte-order mark on the header is ignored."""
     names = list(SILVER_TYPES[entity])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True)
+    return (spark.read.option("header", True).option("enforceSchema", True).option("multiLine", entity in _BROKEN_LINES)
             .option("escape", '"').schema(schema).csv(path)
             .withColumn("_source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)))
 
@@ -52,7 +53,7 @@ def to_bronze(df: DataFrame, source: str) -> DataFrame:
 def silver_type(bronze: DataFrame, entity: str) -> DataFrame:
     """Typed projection; blank or bad text becomes NULL."""
     spec = SILVER_TYPES[entity]
-    return bronze.select(*[(F.col(n) if t == "S" else not_blank(n).try_cast(_SQL_TYPE[t])).alias(n)
+    return bronze.select(*[(F.col(n) if t == "string" else not_blank(n).try_cast(t)).alias(n)
                            for n, t in spec.items() if n in bronze.columns])
 
 

@@ -348,3 +348,18 @@ def test_robust_z_skips_zero_mad_months(spark):
     got = fr.robust_month_z(d).toPandas()
     assert got[got.year_month == "a"]["freight_log_ratio_month_z"].isna().all()
     assert sorted(got[got.year_month == "b"]["freight_log_ratio_month_z"].round(6)) == [round(-1 / 1.4826, 6), 0.0, round(2 / 1.4826, 6)]
+
+
+def test_rank_buckets_follow_the_values(spark):
+    """One far value, or nearly all values in a thousandth of the range, leaves no large bucket; odd numbers keep their order."""
+    far = [(100 + i / 100_000,) for i in range(40_000)] + [(1e9,)]
+    dense = [(i / 40_000,) for i in range(40_000)] + [(1000.0 * i,) for i in range(1, 400)]
+    for rows in (far, dense):
+        d = ranks.distinct_counts(spark.createDataFrame(rows, "v double"), [], "v")
+        b, _ = ranks._bucketed(d, [], "v", ["_n"])
+        assert b.groupBy("_b").count().agg({"count": "max"}).first()[0] < 0.03 * len(rows)
+        got = {r["v"]: r["rank"] for r in ranks.average_rank(spark.createDataFrame(rows, "v double"), [], "v").collect()}
+        assert [got[v] for (v,) in sorted(rows)] == list(range(1, len(rows) + 1))
+    odd = [float("-inf"), -1e300, -1.0, -0.5, 0.0, 1e-300, 2.0, 1e300, float("inf"), float("nan")]
+    got = ranks.average_rank(spark.createDataFrame([(x,) for x in odd], "v double"), [], "v").orderBy("rank").collect()
+    assert [repr(r["v"]) for r in got] == [repr(x) for x in odd]
