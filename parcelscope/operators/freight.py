@@ -82,7 +82,7 @@ def order_expected(scored: DataFrame) -> DataFrame:
     Sums are of decimals, so that they don't depend on the order of rows: their ties decide bins.
     """
     g = back_transform(scored).groupBy("order_id", "year_month").agg(
-        *[F.sum(F.round(k, 6).cast("decimal(28,6)")).cast("double").alias(n) for k, n in
+        *[F.sum(F.round(k, 8).cast("decimal(28,8)")).cast("double").alias(n) for k, n in
           (("pred_freight", "expected_freight_oot"), ("seller_freight", "total_freight"), ("seller_price", "total_price"))])
     return g.withColumns({"freight_residual": F.col("total_freight") - F.col("expected_freight_oot"),
                           "freight_ratio_to_expected": F.when(F.col("expected_freight_oot") > 0, F.col("total_freight") / F.col("expected_freight_oot"))})

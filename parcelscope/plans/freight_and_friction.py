@@ -18,7 +18,7 @@ def _l(k):
 shared("o_log", f"""select *, {_l('seller_freight')} log_freight, {_l('distance_km')} log_distance, {_l('seller_weight_g')} log_weight, {_l('seller_volume_cm3')} log_volume, {_l('seller_price')} log_price from o_routes""")
 shared("o_months", "select year_month ym, row_number() over (order by year_month) i from (select distinct year_month from o_routes)")
 shared("o_f0", "select ym, count(log_freight) n_train, median(log_freight) med from o_months join o_log on year_month < ym where i > 3 group by 1")
-shared("o_exp", """select order_id, year_month, cast(sum(cast(round(p, 6) as decimal(28, 6))) as double) expected_freight_oot, cast(sum(cast(round(seller_freight, 6) as decimal(28, 6))) as double) total_freight, cast(sum(cast(round(seller_price, 6) as decimal(28, 6))) as double) total_price
+shared("o_exp", """select order_id, year_month, cast(sum(cast(round(p, 8) as decimal(28, 8))) as double) expected_freight_oot, cast(sum(cast(round(seller_freight, 8) as decimal(28, 8))) as double) total_freight, cast(sum(cast(round(seller_price, 8) as decimal(28, 8))) as double) total_price
  from (select *, case when med is not null then greatest(0, exp(med) - 1) end p from o_log left join o_f0 on ym = year_month) group by 1, 2""")
 _E = "1e-8::double"
 shared("o_fric", f"""select e.*, k.late, freight_burden / 1.0 b0, ln((total_freight + {_E}) / (expected_freight_oot + {_E})) freight_log_ratio, total_freight / expected_freight_oot freight_expected_ratio,
@@ -87,12 +87,12 @@ def _(t):
     return fr.order_expected(scored).select("order_id", "year_month", rnd("expected_freight_oot").alias("expected_freight_oot"))
 
 
-@query("i6_order_expected", """select order_id, year_month, round(expected_freight_oot, 6) expected_freight_oot, round(total_freight, 6) total_freight, round(total_freight - expected_freight_oot, 6) freight_residual,
+@query("i6_order_expected", """select order_id, year_month, round(expected_freight_oot, 8) expected_freight_oot, round(total_freight, 8) total_freight, round(total_freight - expected_freight_oot, 8) freight_residual,
  round(case when expected_freight_oot > 0 then total_freight / expected_freight_oot end, 6) freight_ratio_to_expected from o_exp""")
 def _(t):
-    # sums have six decimals; fewer would round ties
-    r6 = ("expected_freight_oot", "total_freight", "freight_residual")
-    return expected(t).select("order_id", "year_month", *[rnd(k).alias(k) for k in r6], rnd("freight_ratio_to_expected").alias("freight_ratio_to_expected"))
+    # sums have eight decimals; fewer would round ties
+    r8 = ("expected_freight_oot", "total_freight", "freight_residual")
+    return expected(t).select("order_id", "year_month", *[rnd(k, 8).alias(k) for k in r8], rnd("freight_ratio_to_expected").alias("freight_ratio_to_expected"))
 
 
 @query("i7_regression_metrics", """select count(*) n_rows, count(e) n, round(avg(abs(e)), 6) mae, round(sqrt(avg(e*e)), 6) rmse, round(1 - sum(e*e) / (var_pop(total_freight) filter (e is not null) * count(e)), 6) r2,
@@ -136,9 +136,9 @@ def _(t):
 _FC = ["freight_burden", "freight_to_price_ratio", "log_freight_to_price_ratio", "freight_residual_abs", "freight_expected_ratio", "freight_residual_relative", "freight_log_ratio"]
 
 
-@query("i10_friction_core", f"select order_id, {', '.join(f'round({k}, 5) {k}' for k in _FC)} from o_fric")
+@query("i10_friction_core", f"select order_id, {', '.join(f'round({k}, 8) {k}' for k in _FC)} from o_fric")
 def _(t):
-    return friction(t).select("order_id", *[rnd(k, 5).alias(k) for k in _FC])
+    return friction(t).select("order_id", *[rnd(k, 8).alias(k) for k in _FC])
 
 
 @query("i11_monthly_robust_z", "select order_id, year_month, round(freight_log_ratio_month_z, 5) freight_log_ratio_month_z from o_z")
@@ -259,17 +259,17 @@ def _(t):
     return union([fr.critical_friction(z, q) for q in (.75, .8, .9)])
 
 
-@query("i23_m1_feature_set", """select order_id, round(expected_freight_oot, 5) expected_freight_oot, round(freight_burden, 6) freight_burden, round(freight_expected_ratio, 6) q, round(freight_log_ratio_month_z, 5) z, cast(expected_freight_oot is not null as int) available from o_z""")
+@query("i23_m1_feature_set", """select order_id, round(expected_freight_oot, 8) expected_freight_oot, round(freight_burden, 6) freight_burden, round(freight_expected_ratio, 6) q, round(freight_log_ratio_month_z, 5) z, cast(expected_freight_oot is not null as int) available from o_z""")
 def _(t):
-    return friction_z(t).select("order_id", rnd("expected_freight_oot", 5).alias("expected_freight_oot"), rnd("freight_burden").alias("freight_burden"), rnd("freight_expected_ratio").alias("q"),
+    return friction_z(t).select("order_id", rnd("expected_freight_oot", 8).alias("expected_freight_oot"), rnd("freight_burden").alias("freight_burden"), rnd("freight_expected_ratio").alias("q"),
                                 rnd("freight_log_ratio_month_z", 5).alias("z"), F.col("expected_freight_oot").isNotNull().cast("int").alias("available"))
 
 
-@query("i24_residual_drift", "select year_month, count(*) n, round(avg(freight_residual_abs), 5) residual_mean, round(median(freight_residual_abs), 5) residual_median, round(stddev_samp(freight_residual_abs), 5) residual_std from o_fric where freight_residual_abs is not null group by 1")
+@query("i24_residual_drift", "select year_month, count(*) n, round(avg(freight_residual_abs), 9) residual_mean, round(median(freight_residual_abs), 5) residual_median, round(stddev_samp(freight_residual_abs), 5) residual_std from o_fric where freight_residual_abs is not null group by 1")
 def _(t):
     d = friction(t).filter("freight_residual_abs is not null")
     e = "freight_residual_abs"
-    a = d.groupBy("year_month").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(e), 5).alias("residual_mean"), rnd(F.stddev_samp(e), 5).alias("residual_std"))
+    a = d.groupBy("year_month").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg(e), 9).alias("residual_mean"), rnd(F.stddev_samp(e), 5).alias("residual_std"))
     return a.join(ranks.exact_quantiles(d, ["year_month"], e, {"residual_median": .5}).withColumn("residual_median", rnd("residual_median", 5)), "year_month")
 
 
