@@ -94,16 +94,23 @@ def acceptance(intercept: float, slope: float, ece: float) -> str:
     return "CALIBRATED" if abs(intercept) <= 0.10 and abs(slope - 1) <= 0.10 and ece <= 0.02 else "RECALIBRATE"
 
 
-def permuted(df: DataFrame, column: str, seed: int, row_id: str = "order_id") -> DataFrame:
-    """Replace a column by a random permutation of itself: positions in two hash orders are matched."""
-    def position(salt, cols):
-        h = df.select(F.xxhash64(row_id, F.lit(seed), F.lit(salt)).alias("_h"), *cols)
-        before = ranks.cumulative(ranks.distinct_counts(h, [], "_h"), [], "_h", ["_n"]).select("_h", "_n_before")
-        w = Window.partitionBy("_h").orderBy(cols[0])
-        return h.join(before, "_h").withColumn("_i", F.col("_n_before") + F.row_number().over(w)).drop("_h", "_n_before")
-    a = position("from", [row_id, column]).select("_i", F.col(column).alias("_new"))
-    b = position("to", [row_id]).select("_i", row_id)
-    return df.drop(column).join(b.join(a, "_i").select(row_id, F.col("_new").alias(column)), row_id)
+def permuted_values(df: DataFrame, group: str, columns: list[str], repeats: int, row_id: str = "order_id") -> DataFrame:
+    """Every column's values in a random order within each group, ``repeats`` times: (row_id, group, term, repeat, new).
+
+    Rows get positions in two hash orders; equal positions are matched. Positions are running counts in ranked
+    buckets, so no group is ordered in one task.
+    """
+    keys = [group, "term", "repeat"]
+    cells = F.array(*[F.struct(F.lit(x).alias("term"), F.lit(r).alias("repeat"), F.col(x).cast("double").alias("value")) for x in columns for r in range(repeats)])
+    d = df.select(row_id, group, F.inline(cells))
+
+    def position(salt):
+        h = d.withColumn("_h", F.xxhash64(row_id, "term", "repeat", F.lit(salt)))
+        before = ranks.cumulative(ranks.distinct_counts(h, keys, "_h"), keys, "_h", ["_n"]).select(*keys, "_h", "_n_before")
+        w = Window.partitionBy(*keys, "_h").orderBy(row_id)
+        return h.join(before, [*keys, "_h"]).withColumn("_i", F.col("_n_before") + F.row_number().over(w))
+    a = position("from").select(*keys, "_i", F.col("value").alias("new"))
+    return position("to").select(row_id, *keys, "_i").join(a, [*keys, "_i"]).drop("_i")
 
 
 def oriented_deltas(metrics: DataFrame, base: str, other: str, metric: str, higher_better: bool = True) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from parcelscope.operators.component_grid import fit_grid
+
 SQL_WIDTH = 14
 
 
@@ -145,7 +147,7 @@ def _cluster_cov(d, names, e, cluster, inv, n) -> np.ndarray:
     return part([cluster[0]]) + part([cluster[1]]) - part(cluster)
 
 
-def logit(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, max_iter: int = 30, tol: float = 1e-9) -> Fit:
+def logit(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, max_iter: int = 200, tol: float = 1e-9) -> Fit:
     """Logistic or fractional-logit fit by Newton steps (one aggregate per step); HC1 errors."""
     names = ["const", *xs]
     d = design(df, y, xs)
@@ -164,6 +166,8 @@ def logit(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, max_iter: in
         beta = beta + step * min(1.0, 5.0 / size if size > 0 else 1.0)
         if size < tol:
             break
+    else:
+        raise ArithmeticError(f"no convergence in {max_iter} Newton steps")
     r = F.col("_y") - mu
     h, _, (n, llf) = products(at(beta), names, mu * (1 - mu), r, [F.count(F.lit(1)), ll])
     meat, _, _ = products(at(beta), names, r * r, r)
@@ -225,64 +229,23 @@ def apply_fold_coefficients(df: DataFrame, period: str, xs: list[str], coefs: di
     return df.join(c, period, "left").withColumn(out, score).drop("_coef")
 
 
-def fold_logit(df: DataFrame, usable: str, folds: list[str], xs: list[str], y: str, c: float | None = 1.0, max_iter: int = 25,
+def fold_logit(df: DataFrame, usable: str, folds: list[str], xs: list[str], y: str, c: float | None = 1.0, max_iter: int = 100,
                tol: float = 1e-8) -> dict[str, dict]:
-    """Logistic fits for every expanding fold together: one aggregate per Newton step for all folds.
+    """Logistic fits for every expanding fold together: one pass per step for all folds, without copies of rows.
 
-    A row trains in each fold whose month follows the month it became usable: it is unrolled to the
-    numbers of those folds and meets the coefficients in an equi-join with a table of one row per
-    fold, so the plan (and its generated code) is the same in every step. Columns are scaled by
-    the fold's own training mean and population deviation; ``c`` is the inverse L2 strength on the
-    scaled coefficients (None: no penalty). Returns raw-unit coefficients per fold.
+    A row trains in each fold after the period it became usable. Columns are scaled by the fold's own training mean and
+    population deviation; ``c`` is the inverse L2 strength on the scaled coefficients (None: no penalty). Returns raw-unit
+    and scaled coefficients per fold; ``converged`` tells whether the last step was below ``tol``.
     """
-    p = len(xs)
-    d = df.select(F.col(usable).alias("_u"), F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(x) for x in xs]).na.drop()
-    started = [F.when(F.col("_u") >= f, 1).otherwise(0) for f in folds]
-    d = d.withColumn("_first", sum(started[1:], started[0])).persist(StorageLevel.MEMORY_AND_DISK)
-    per = d.groupBy("_u").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), *[F.sum(x).alias(f"s_{x}") for x in xs],
-                              *[F.sum(F.col(x) * F.col(x)).alias(f"q_{x}") for x in xs]).toPandas()
-    info = {}
-    for f in folds:
-        t = per[per["_u"] < f]
-        n, pos = float(t["n"].sum()), float(t["y"].sum())
-        if n == 0 or pos == 0 or pos == n:
-            continue
-        mean = np.array([t[f"s_{x}"].sum() / n for x in xs])
-        sd = np.sqrt(np.maximum(np.array([t[f"q_{x}"].sum() / n for x in xs]) - mean ** 2, 0))
-        info[f] = {"i": folds.index(f), "n": n, "pos": pos, "mean": mean, "sd": np.where(sd > 0, sd, 1.0), "beta": np.zeros(p + 1), "done": False}
-    pen = np.diag([0.0] + [0.0 if c is None else 1.0 / c] * p)
-
-    def raw(i):
-        b = i["beta"][1:] / i["sd"]
-        return np.concatenate([[i["beta"][0] - float(b @ i["mean"])], b])
-    pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    for _ in range(max_iter):
-        live = [f for f, i in info.items() if not i["done"]]
-        if not live:
-            break
-        rows = [(f, info[f]["i"], *[float(v) for v in raw(info[f])]) for f in live]
-        coefs = d.sparkSession.createDataFrame(rows, "fold string, _i int, " + ", ".join(f"b{i} double" for i in range(p + 1)))
-        e = d.filter(F.col("_first") < len(folds)).select("*", F.explode(F.sequence("_first", F.lit(len(folds) - 1))).alias("_i")).join(F.broadcast(coefs), "_i")
-        eta = F.col("b0")
-        for i, x in enumerate(xs):
-            eta = eta + F.col(f"b{i + 1}") * F.col(x)
-        e = e.select("fold", F.lit(1.0).alias("_x0"), *[F.col(x).alias(f"_x{i + 1}") for i, x in enumerate(xs)], "_y",
-                     (1.0 / (1.0 + F.exp(-eta))).alias("_m")).withColumn("_w", F.col("_m") * (1 - F.col("_m")))
-        rows = e.groupBy("fold").agg(*[F.sum(F.col("_w") * F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"h{i}_{j}") for i, j in pairs],
-                                     *[F.sum((F.col("_y") - F.col("_m")) * F.col(f"_x{i}")).alias(f"g{i}") for i in range(p + 1)]).collect()
-        for r in rows:
-            i = info[r["fold"]]
-            h = np.zeros((p + 1, p + 1))
-            for a, z in pairs:
-                h[a, z] = h[z, a] = r[f"h{a}_{z}"]
-            g = np.array([r[f"g{a}"] for a in range(p + 1)])
-            # to scaled coordinates: x_scaled = T x_raw
-            t = np.diag(np.concatenate([[1.0], 1 / i["sd"]]))
-            t[1:, 0] = -i["mean"] / i["sd"]
-            hs, gs = t @ h @ t.T, t @ g
-            step = np.linalg.pinv(hs + pen) @ (gs - pen @ i["beta"])
-            size = float(np.max(np.abs(step)))
-            i["beta"] = i["beta"] + step * min(1.0, 5.0 / size if size > 0 else 1.0)
-            i["done"] = size < tol
+    values = F.array(F.lit(1.0), *[F.col(x).cast("double") for x in xs])
+    d = df.na.drop(subset=[usable, y, *xs]).select(F.col(usable).alias("usable"), F.col(y).cast("double").alias("y"), values.alias("values")).persist(StorageLevel.MEMORY_AND_DISK)
+    coefs, done, scales = fit_grid(d, folds, len(xs), 0, [0], np.inf if c is None else c, max_iter, tol)
+    sizes = d.groupBy("usable").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()
     d.unpersist()
-    return {f: {"coef": raw(i), "scaled": i["beta"], "mean": i["mean"], "sd": i["sd"], "n": int(i["n"]), "pos": int(i["pos"])} for f, i in info.items()}
+    out = {}
+    for f, b in coefs.items():
+        t = scales[f]
+        sd = 1 / np.diag(t)[1:]
+        out[f] = {"coef": b[:, 0], "scaled": np.linalg.solve(t.T, b[:, 0]), "mean": -t[1:, 0] * sd, "sd": sd, "converged": done[f, 0],
+                  "n": sum(r["n"] for r in sizes if r["usable"] < f), "pos": int(sum(r["y"] for r in sizes if r["usable"] < f))}
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from parcelscope.functions.columns import DAY_US, n_if, rnd, us
 from parcelscope.operators import evaluation as ev
 from parcelscope.operators import functional as fn
-from parcelscope.operators import gold, label, models
+from parcelscope.operators import component_grid, gold, label, models
 from parcelscope.operators import inference as inf
 from parcelscope.operators.checks import union
 from parcelscope.plans.freight_and_friction import _bin_sql
@@ -58,14 +58,35 @@ def _months(df):
     return [r[0] for r in df.select("month").distinct().orderBy("month").collect()]
 
 
+def _arm_columns(arm):
+    return _CORE if arm == "M0" else _CORE + _PLUS
+
+
+_FITS = "month string, n long, coef array<double>, scaled array<double>, mean array<double>, sd array<double>"
+
+
+def fold_fits(t, arm: str):
+    """One row per fold: raw and scaled coefficients with the training means and deviations."""
+    def build():
+        d = model_frame(t)
+        fits = models.fold_logit(d, "usable", _months(d)[3:], _arm_columns(arm), "late")
+        rows = [(m, f["n"], *[[float(v) for v in f[k]] for k in ("coef", "scaled", "mean", "sd")]) for m, f in fits.items()]
+        return t.spark.createDataFrame(rows, _FITS)
+    return t.stage(f"fold_fits_{arm}", build)
+
+
+def held_out(t, arm: str):
+    """Rows with the fit of their own month, which never saw them."""
+    return model_frame(t).join(F.broadcast(fold_fits(t, arm)), "month")
+
+
 def fold_scores(t, arm: str):
     """Out-of-fold logistic scores of one arm."""
     def build():
-        d = model_frame(t)
-        xs = _CORE if arm == "M0" else _CORE + _PLUS
-        fits = models.fold_logit(d, "usable", _months(d)[3:], xs, "late")
-        s = models.apply_fold_coefficients(d, "month", xs, {m: f["coef"] for m, f in fits.items()}, "eta")
-        return s.filter("eta is not null").select("order_id", "month", F.col("late").alias("y"), F.lit(arm).alias("model"), (1 / (1 + F.exp(-F.col("eta")))).alias("score"))
+        eta = F.col("coef")[0]
+        for i, x in enumerate(_arm_columns(arm)):
+            eta = eta + F.col("coef")[i + 1] * F.col(x)
+        return held_out(t, arm).select("order_id", "month", F.col("late").alias("y"), F.lit(arm).alias("model"), (1 / (1 + F.exp(-eta))).alias("score"))
     return t.stage(f"fold_scores_{arm}", build)
 
 
@@ -225,45 +246,65 @@ def _(t):
     return t.spark.createDataFrame(out, "model string, intercept double, slope double, ece double, acceptance string")
 
 
-def _last_fit(t):
-    d = model_frame(t)
-    last = _months(d)[-1]
-    return last, models.fold_logit(d, "usable", [last], _CORE + _PLUS, "late")[last]
+def _terms():
+    return F.array(*[F.lit(n) for n in _CORE + _PLUS])
 
 
 @query("k19_coefficients")
 def _(t):
-    last, f = _last_fit(t)
-    rows = [(x, float(f["scaled"][i + 1]), float(f["coef"][i + 1]), float(f["mean"][i]), float(f["sd"][i])) for i, x in enumerate(_CORE + _PLUS)]
-    c = t.spark.createDataFrame(rows, "term string, coef_per_sd double, coef_raw double, mean double, sd double")
-    return c.withColumn("odds_ratio_per_sd", F.exp("coef_per_sd"))
+    """Coefficients of every fold per deviation and in raw units."""
+    cells = F.arrays_zip(_terms().alias("term"), F.slice("scaled", 2, 99).alias("coef_per_sd"), F.slice("coef", 2, 99).alias("coef_raw"), "mean", "sd")
+    d = fold_fits(t, "M1").select("month", "n", F.inline(cells))
+    return d.withColumn("odds_ratio_per_sd", F.exp("coef_per_sd"))
+
+
+@query("k19_coefficient_summary")
+def _(t):
+    d = fold_fits(t, "M1").select("month", F.inline(F.arrays_zip(_terms().alias("term"), F.slice("scaled", 2, 99).alias("b"))))
+    return d.groupBy("term").agg(F.count(F.lit(1)).alias("folds"), F.avg("b").alias("mean_coef"), F.median("b").alias("median_coef"), F.min("b").alias("min_coef"), F.max("b").alias("max_coef"),
+                                 n_if(F.col("b") > 0).alias("positive_folds"), n_if(F.col("b") < 0).alias("negative_folds"), F.exp(F.median("b")).alias("median_odds_ratio"))
+
+
+def _contributions(t):
+    """Held-out rows with the part of the logit that each term adds."""
+    parts = F.array(*[(F.col(x) - F.col("mean")[i]) / F.col("sd")[i] * F.col("scaled")[i + 1] for i, x in enumerate(_CORE + _PLUS)])
+    return held_out(t, "M1").withColumn("parts", parts)
+
+
+@query("k19_logit_identity")
+def _(t):
+    """Intercept plus contributions against the logit of the out-of-fold score, per month."""
+    total = F.col("scaled")[0] + F.aggregate("parts", F.lit(0.0), lambda s, v: s + v)
+    p = F.col("score")
+    d = _contributions(t).join(fold_scores(t, "M1").select("order_id", "score"), "order_id")
+    gap = F.abs(total - F.log(p / (1 - p)))
+    return d.groupBy("month").agg(F.count(F.lit(1)).alias("n"), n_if(gap > 1e-6).alias("violations"))
 
 
 @query("k19_top_driver_share")
 def _(t):
-    last, f = _last_fit(t)
-    names = _CORE + _PLUS
-    parts = F.array(*[F.abs((F.col(x) - float(f["mean"][i])) / float(f["sd"][i]) * float(f["scaled"][i + 1])) for i, x in enumerate(names)])
-    d = model_frame(t).withColumn("_c", parts)
-    top = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("_c", F.array_max("_c")).cast("int"))
+    """Share of held-out rows whose largest absolute contribution is each term."""
+    size = F.transform("parts", F.abs)
+    d = _contributions(t).withColumn("_c", size)
+    top = F.element_at(_terms(), F.array_position("_c", F.array_max("_c")).cast("int"))
     g = d.groupBy(top.alias("top_driver")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("share", rnd(F.col("n") / d.agg(F.count(F.lit(1))).scalar()))
 
 
 @query("k20_permutation_importance")
 def _(t):
-    last, f = _last_fit(t)
+    """Drop of the average precision when a term's values are permuted within a held-out month, five repeats."""
     names = _CORE + _PLUS
-    d = model_frame(t).select("order_id", F.col("late").alias("y"), *names)
-
-    def scored(df, tag):
-        eta = F.lit(float(f["coef"][0]))
-        for i, x in enumerate(names):
-            eta = eta + F.col(x) * float(f["coef"][i + 1])
-        return df.select("order_id", "y", (1 / (1 + F.exp(-eta))).alias("score"), F.lit(tag).alias("column"))
-    s = union([scored(d, "NONE")] + [scored(ev.permuted(d, x, 42), x) for x in names])
-    m = ev.ranking_metrics(s, ["column"])
-    return m.withColumn("ap_drop", rnd(m.filter("column = 'NONE'").select("ap").scalar() - F.col("ap")))
+    rows = held_out(t, "M1").join(fold_scores(t, "M1").select("order_id", "y", "score"), "order_id")
+    new = ev.permuted_values(rows, "month", names, 5)
+    here = F.array_position(_terms(), F.col("term")).cast("int")
+    old = F.get(F.array(*[F.col(x).cast("double") for x in names]), here - 1)
+    eta = F.log(F.col("score") / (1 - F.col("score"))) + F.get("coef", here) * (F.col("new") - old)
+    s = new.join(rows, ["order_id", "month"]).select("month", "term", "repeat", "y", (1 / (1 + F.exp(-eta))).alias("score"))
+    after = ev.ranking_metrics(s, ["month", "term", "repeat"]).select("month", "term", "repeat", "ap")
+    base = ev.ranking_metrics(rows, ["month"]).select("month", F.col("ap").alias("base_ap"))
+    d = after.join(base, "month").withColumn("drop", F.col("base_ap") - F.col("ap")).filter("drop is not null")
+    return d.groupBy("term").agg(F.countDistinct("month").alias("folds"), F.count(F.lit(1)).alias("permutations"), rnd(F.avg("drop")).alias("ap_drop"), rnd(F.stddev_samp("drop")).alias("ap_drop_std"))
 
 
 @query("k21_prequential_blend", """with m as (select "month", count(*) n, sum((m0-m1)*(m0-m1)) dd, sum((m0-m1)*(m1-y)) de, sum((m1-y)*(m1-y)) ee from o_wide group by 1),
@@ -294,33 +335,32 @@ def _(t):
 
 
 # ---------------------------------------------------------------- functional curves
-def _grams(t, channel, lags):
-    start = t.orders.agg(F.min(us("order_purchase_timestamp"))).first()[0] + lags * DAY_US
-    return fn.curve_grams(_arrays(t, channel, lags), lags, start)
+_CH = ["volume", "freight_cents"]
 
 
-def _arrays(t, channel, lags):
-    return t.stage(f"arrays_{channel}_{lags}", lambda: fn.curve_arrays(_curves(t), channel, lags))
+def _start(t):
+    return t.orders.agg(F.min(us("order_purchase_timestamp"))).first()[0]
 
 
-_CH = ["volume", "freight_cents"]
+def _arrays(t, channel):
+    return t.stage(f"arrays_{channel}", lambda: fn.curve_arrays(_curves(t), channel, max(fn.WINDOWS)))
+
+
+def _grams(t, channel, days):
+    return fn.moments(t.stage(f"grams_{channel}", lambda: fn.gram_rows(_arrays(t, channel), _start(t))), days)
 
 
 @query("k24_functional_basis")
 def _(t):
-    rows = []
-    for c in _CH:
-        g = _grams(t, c, 90)
-        for w in (30, 60, 90):
-            rows += fn.basis_rows({m: x.head(w) for m, x in g.items()}, c, w)
-    return t.spark.createDataFrame(rows, "channel string, days int, month string, n long, k80 int, k90 int, k95 int, k99 int, rank int, condition double")
+    rows = [r for c in _CH for w in fn.WINDOWS for r in fn.basis_rows(_grams(t, c, w), c, w)]
+    return t.spark.createDataFrame(rows, "channel string, days int, month string, n long, test_rows long, status string, k80 int, k90 int, k95 int, k99 int, rank int, condition double")
 
 
-_REC = "channel string, month string, pve double, k int, error double, train_error double, inflation double"
+_REC = "channel string, days int, month string, pve double, k int, error double, train_error double, inflation double"
 
 
 def _recon(t):
-    return [r for c in _CH for r in fn.reconstruction_rows(_grams(t, c, 30), c)]
+    return [r for c in _CH for w in fn.WINDOWS for r in fn.reconstruction_rows(_grams(t, c, w), c, w)]
 
 
 @query("k25_reconstruction_error")
@@ -330,83 +370,99 @@ def _(t):
 
 @query("k25_policy_one_se")
 def _(t):
-    d = pd.DataFrame(_recon(t), columns=["channel", "month", "pve", "k", "error", "train_error", "inflation"])
-    out = pd.concat([fn.one_se(g, "pve", "error", "k").assign(channel=c) for c, g in d.groupby("channel")])
+    d = pd.DataFrame(_recon(t), columns=["channel", "days", "month", "pve", "k", "error", "train_error", "inflation"])
+    out = pd.concat([fn.one_se(g, "pve", "error", "k").assign(channel=c, days=w) for (c, w), g in d.groupby(["channel", "days"])])
     return t.spark.createDataFrame(out)
 
 
+# fixed values: degrees of freedom of a smoother as shares of the window
+_DF_RATIOS = (0.75, 0.50, 0.25)
+
+
 @query("k26_negative_smoothing")
 def _(t):
-    out = []
-    for df_target in (8, 15):
-        h, lam = fn.smoother(30, df_target)
-        out.append(fn.negative_mass(_arrays(t, "volume", 30), h).withColumns({"target_df": F.lit(df_target), "penalty": F.lit(float(lam)), "negative_mass_share": rnd("negative_mass_share", 8)}))
-    return union(out)
+    made = {(w, r): fn.smoother(w, r * w) for w in fn.WINDOWS for r in _DF_RATIOS}
+    penalty = t.spark.createDataFrame([(w, r, float(lam)) for (w, r), (_h, lam) in made.items()], "days int, df_ratio double, penalty double")
+    out = union([fn.negative_mass(_arrays(t, c), {k: h for k, (h, _l) in made.items()}).withColumn("channel", F.lit(c)) for c in _CH])
+    return out.join(penalty, ["days", "df_ratio"]).withColumns({"negative_mass_share": rnd("negative_mass_share", 8), "target_df": F.col("days") * F.col("df_ratio")})
 
 
 @query("k27_raw_vs_smooth")
 def _(t):
-    h, _l = fn.smoother(30, 12)
-    rows = [r for c in _CH for r in fn.raw_vs_smooth_rows(_grams(t, c, 30), h, 3, c)]
-    return t.spark.createDataFrame(rows, "channel string, month string, distortion double, raw_error double, smooth_error double, angle_deg double")
+    h, _l = fn.smoother(30, 0.75 * 30)
+    rows = [r for c in _CH for r in fn.raw_vs_smooth_rows(_grams(t, c, 30), h, c)]
+    return t.spark.createDataFrame(rows, "channel string, month string, k90 int, distortion double, raw_error double, smooth_error double, angle_deg double")
+
+
+_BCV = ["channel", "held_days", "month", "k", "sse", "energy", "relative_error"]
 
 
 def _bcv(t):
-    return [r for c in _CH for r in fn.bcv_rows(_grams(t, c, 30), c)]
+    return pd.DataFrame([r for c in _CH for r in fn.bcv_rows(_grams(t, c, 30), c)], columns=_BCV)
+
+
+def _bcv_frame(t):
+    return t.spark.createDataFrame(_bcv(t), "channel string, held_days int, month string, k int, sse double, energy double, relative_error double")
 
 
 @query("k28_bcv_rank_errors")
 def _(t):
-    d = t.spark.createDataFrame(_bcv(t), "channel string, month string, k int, sse double, energy double, relative_error double")
-    return d.groupBy("channel", "k").agg(F.count(F.lit(1)).alias("months"), F.avg("relative_error").alias("mean_error"), F.sqrt(F.sum("sse") / F.sum("energy")).alias("pooled_error"))
+    return _bcv_frame(t).groupBy("channel", "held_days", "k").agg(F.count(F.lit(1)).alias("months"), F.avg("relative_error").alias("mean_error"), F.sqrt(F.sum("sse") / F.sum("energy")).alias("pooled_error"))
+
+
+@query("k28_rank_one_se")
+def _(t):
+    out = [fn.one_se(g.assign(size=g["k"]), "k", "relative_error", "size").assign(channel=c, held_days=w) for (c, w), g in _bcv(t).groupby(["channel", "held_days"])]
+    return t.spark.createDataFrame(pd.concat(out))
+
+
+@query("k28_best_rank_by_month")
+def _(t):
+    """Rank with the least sqrt(sum of squares / energy) per month, over the holdouts that reach it; ties go to the smaller rank."""
+    d = _bcv_frame(t).groupBy("channel", "month", "k").agg(F.count(F.lit(1)).alias("holdouts"), F.sqrt(F.sum("sse") / F.sum("energy")).alias("error"))
+    d = d.filter(F.col("holdouts") == len(fn.HOLDOUTS))
+    return d.groupBy("channel", "month").agg(F.min(F.struct("error", "k")).alias("z")).select("channel", "month", F.col("z.k").alias("best_k"), F.col("z.error").alias("error"))
 
 
 @query("k29_rank_stability")
 def _(t):
-    """Block-bootstrap frequency of the best rank over months, entropy and cumulative evidence."""
-    d = pd.DataFrame(_bcv(t), columns=["channel", "month", "k", "sse", "energy", "err"])
-    out = []
-    for c, g in d.groupby("channel"):
-        p = g.pivot(index="month", columns="k", values="err").sort_index()
-        named = {f"k{k}": [float(v) for v in p[k]] for k in p.columns}
-        b = inf.bootstrap_means(t.spark, named, reps=2000, seed=11, block=3, circular=True)
-        best = F.array_min(F.array(*[F.struct(F.col(n).alias("e"), F.lit(int(n[1:])).alias("k")) for n in named]))["k"]
-        out.append(b.select(F.lit(c).alias("channel"), best.alias("k")).groupBy("channel", "k").agg(F.count(F.lit(1)).alias("replicates")))
+    """Block-bootstrap frequency of the best rank over months for each block length, entropy and cumulative evidence."""
     from pyspark.sql import Window
-    u = union(out)
-    w, run = Window.partitionBy("channel"), Window.partitionBy("channel").orderBy("k")
+    errors = {k: g.pivot(index="month", columns="k", values="relative_error").sort_index().to_numpy() for k, g in _bcv(t).groupby(["channel", "held_days"])}
+    months = len(next(iter(errors.values())))
+    u = union([fn.best_rank_draws(inf.replicate_positions(t.spark, months, 20_000, 11, b, True), errors).withColumn("block", F.lit(b)) for b in (2, 3, 4)])
+    keys = ["channel", "held_days", "block"]
+    w, run = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("k")
     f = u.withColumn("frequency", F.col("replicates") / F.sum("replicates").over(w))
-    return f.select("channel", "k", "replicates", "frequency", F.sum("frequency").over(run).alias("cumulative_evidence"),
+    return f.select(*keys, "k", "replicates", "frequency", F.sum("frequency").over(run).alias("cumulative_evidence"),
                     (-F.sum(F.col("frequency") * F.log("frequency")).over(w) / F.greatest(F.log(F.count(F.lit(1)).over(w).cast("double")), F.lit(1e-12))).alias("normalized_entropy"))
 
 
 @query("k30_policy_tradeoff")
 def _(t):
     from pyspark.sql import Window
-    d = t.spark.createDataFrame(_recon(t), _REC).groupBy("channel", "pve").agg(F.avg("k").alias("mean_k"), F.avg("error").alias("mean_error"))
-    w = Window.partitionBy("channel").orderBy("pve")
+    d = t.spark.createDataFrame(_recon(t), _REC).groupBy("channel", "days", "pve").agg(F.avg("k").alias("mean_k"), F.avg("error").alias("mean_error"))
+    w = Window.partitionBy("channel", "days").orderBy("pve")
     dk, de = F.col("mean_k") - F.lag("mean_k").over(w), F.lag("mean_error").over(w) - F.col("mean_error")
-    return d.select("channel", "pve", "mean_k", "mean_error", dk.alias("extra_components"), de.alias("error_gain"), (de / F.nullif(dk, F.lit(0.0))).alias("gain_per_component"))
+    return d.select("channel", "days", "pve", "mean_k", "mean_error", dk.alias("extra_components"), de.alias("error_gain"), (de / F.nullif(dk, F.lit(0.0))).alias("gain_per_component"))
+
+
+# fixed values: components per channel
+_SIZES = [0, 1, 2, 3, 4, 5, 6, 10, 15, 20, 23, 25, 27, 30]
 
 
 @query("k31_supervised_k_grid")
 def _(t):
-    """Core features plus 2k component scores: logistic folds for each k on a frozen early basis."""
-    months, d = None, model_frame(t)
-    for c in _CH:
-        g = _grams(t, c, 30)
-        months = list(g)[:len(g) // 3]
-        tr = g[months[0]]
-        for m in months[1:]:
-            tr = tr + g[m]
-        d = d.join(fn.pc_scores(_arrays(t, c, 30), tr, 2, f"{c}_pc"), "order_id")
-    d = d.filter(F.col("month") > months[-1])
-    folds = _months(d)[3:]
-    out = []
-    for k in (0, 1, 2):
-        xs = _CORE + [f"{c}_pc{j + 1}" for c in _CH for j in range(k)]
-        fits = models.fold_logit(d, "usable", folds, xs, "late")
-        s = models.apply_fold_coefficients(d, "month", xs, {m: f["coef"] for m, f in fits.items()}, "eta").filter("eta is not null")
-        out.append(s.select("month", F.col("late").alias("y"), F.lit(f"k{k}").alias("model"), (1 / (1 + F.exp(-F.col("eta")))).alias("score")))
-    m = ev.all_metrics(union(out), ["model", "month"])
-    return m.groupBy("model").agg(F.count("ap").alias("folds"), rnd(F.avg("ap")).alias("mean_ap"), rnd(F.avg("auc")).alias("mean_auc"), rnd(F.avg("brier")).alias("mean_brier"))
+    """Core features plus 2k component scores for each k; bases and fits of a month come from its training rows."""
+    def build():
+        d = model_frame(t).select("order_id", "month", "usable", F.col("late").cast("double").alias("y"), *_CORE)
+        for c in _CH:
+            d = d.join(_arrays(t, c).select("order_id", F.slice("curve", 1, 30).alias(c)), "order_id")
+        values = F.concat(F.array(F.lit(1.0), *[F.col(x).cast("double") for x in _CORE]), *_CH)
+        return d.select("order_id", "month", "usable", "y", values.alias("values"))
+    d = t.stage("component_rows", build)
+    coefs, converged, _scales = component_grid.fit_grid(d, _months(d)[3:], len(_CORE), 30, _SIZES)
+    m = ev.all_metrics(component_grid.score_grid(d, coefs, _SIZES), ["k", "month"])
+    g = m.groupBy("k").agg(F.count(F.lit(1)).alias("folds"), rnd(F.avg("ap")).alias("mean_ap"), rnd(F.avg("auc")).alias("mean_auc"), rnd(F.avg("brier")).alias("mean_brier"), rnd(F.avg("log_loss")).alias("mean_log_loss"))
+    counts = t.spark.createDataFrame([(k, sum(ok for (_f, size), ok in converged.items() if size == k)) for k in _SIZES], "k int, converged_folds int")
+    return g.join(counts, "k")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelscope.functions import columns as x
-from parcelscope.operators import checks, evaluation, functional, gold, inference, joins, label, models, pit, ranks, statistics
+from parcelscope.operators import checks, component_grid, evaluation, functional, gold, inference, joins, label, models, pit, ranks, statistics
 from parcelscope.operators import freight as fr
 from parcelscope.sources import bronze
 
@@ -295,10 +295,13 @@ def test_metrics_with_ties_and_single_class(spark):
 
 
 def test_permutation_keeps_the_values(spark):
-    d = spark.range(500).select(F.col("id").alias("order_id"), (F.col("id") % 37).alias("v"))
-    p = evaluation.permuted(d, "v", 1).toPandas()
-    assert sorted(p["v"]) == sorted(i % 37 for i in range(500)) and p["order_id"].nunique() == 500
-    assert (p.sort_values("order_id")["v"].to_numpy() != np.arange(500) % 37).mean() > .8
+    d = spark.range(500).select(F.col("id").alias("order_id"), F.concat(F.lit("m"), F.col("id") % 2).alias("month"), (F.col("id") % 37).alias("v"), F.col("id").alias("w"))
+    p = evaluation.permuted_values(d, "month", ["v", "w"], 2).toPandas()
+    assert len(p) == 2000 and not p.duplicated(["order_id", "term", "repeat"]).any()
+    for (m, term, _), g in p.groupby(["month", "term", "repeat"]):
+        ids = [i for i in range(500) if i % 2 == int(m[1])]
+        assert sorted(g["new"]) == sorted(i % 37 if term == "v" else i for i in ids)
+        assert (g["new"] != (g["order_id"] % 37 if term == "v" else g["order_id"])).mean() > .8
 
 
 def test_sign_flip_three_values(spark):
@@ -329,12 +332,67 @@ def test_curve_gram_rank_and_reconstruction(spark):
     basis = rng.normal(size=(3, 12))
     rows = [(i, 10 ** 15 + i, (rng.normal(size=3) @ basis).tolist(), f"2001-{1 + i % 9:02d}") for i in range(900)]
     d = frame(spark, rows, "order_id long, t0 long, curve array<double>, month string")
-    g = functional.curve_grams(d, 12)
+    g = functional.moments(functional.gram_rows(d, 0, windows=(12,)), 12)
     m = np.vstack([r[2] for r in rows if r[3] == "2001-01"])
     assert np.allclose(g["2001-01"].g, m.T @ m) and g["2001-01"].n == 100
-    assert all(r[8] == 3 for r in functional.basis_rows(g, "c", 12))
-    bcv = pd.DataFrame(functional.bcv_rows(g, "c", max_k=4, blocks=3), columns=["c", "m", "k", "sse", "e", "err"])
-    assert bcv[bcv.k == 3]["err"].max() < 1e-8 and bcv[bcv.k == 1]["err"].min() > 1e-3
+    basis_rows = functional.basis_rows(g, "c", 12)
+    assert all(r[10] == 3 for r in basis_rows) and {r[5] for r in basis_rows} == {"FEW_TRAINING_ROWS"}
+    late = functional.moments(functional.gram_rows(d, 10 ** 15 + 450 - 12 * DAY, windows=(12,)), 12)
+    assert sum(x.n for x in late.values()) == 450
+    bcv = pd.DataFrame(functional.bcv_rows(g, "c"), columns=["c", "held", "m", "k", "sse", "e", "err"])
+    assert bcv[bcv.k == 3]["err"].max() < 1e-5 and bcv[bcv.k == 1]["err"].min() > 1e-3
+    assert bcv.groupby("held")["k"].max().to_dict() == {3: 9, 6: 6}
+
+
+def test_rank_errors_equal_pseudo_inverse():
+    rng = np.random.default_rng(8)
+    x = {f"2001-{i:02d}": rng.normal(size=(60, 12)) @ rng.normal(size=(12, 12)) for i in range(1, 9)}
+    g = {m: functional.Moments(len(v), v.sum(0), v.T @ v) for m, v in x.items()}
+    got = {(r[1], r[2], r[3]): r[6] for r in functional.bcv_rows(g, "c")}
+    train = np.vstack([x[f"2001-{i:02d}"] for i in range(1, 7)])
+    mu, test = train.mean(0), x["2001-07"]
+    for width in (3, 6):
+        for k in (1, 2, 5):
+            sse = total = 0.0
+            for start in range(0, 12, width):
+                held = np.arange(start, start + width)
+                rest = np.setdiff1d(np.arange(12), held)
+                u, s, vt = np.linalg.svd((train - mu)[:, rest], full_matrices=False)
+                guess = (test - mu)[:, rest] @ (vt[:k].T / s[:k]) @ u[:, :k].T @ (train - mu)[:, held]
+                sse += np.sum(((test - mu)[:, held] - guess) ** 2)
+                total += np.sum((test - mu)[:, held] ** 2)
+            assert got[width, "2001-07", k] == pytest.approx(np.sqrt(sse / total), rel=1e-8)
+
+
+def test_component_grid_equals_direct_fit(spark):
+    """Three folds of core values and two curves against plain Newton steps on explicit scores."""
+    rng = np.random.default_rng(9)
+    n, lags = 600, 5
+    core, a, b = rng.normal(size=(n, 2)), rng.normal(size=(n, lags)) @ rng.normal(size=(lags, lags)), rng.normal(size=(n, lags))
+    month = rng.integers(1, 7, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - core[:, 0] - a[:, 0] / 3))).astype(float)
+    values = np.column_stack([np.ones(n), core, a, b])
+    rows = [(i, f"m{month[i]}", f"m{month[i]}", float(y[i]), values[i].tolist()) for i in range(n)]
+    d = frame(spark, rows, "order_id long, month string, usable string, y double, values array<double>")
+    coefs, converged, _scales = component_grid.fit_grid(d, ["m1", "m4", "m6"], 2, lags, [0, 2, 5])
+    assert set(coefs) == {"m4", "m6"} and all(converged.values())
+    scores = {(r["order_id"], r["k"]): r["score"] for r in component_grid.score_grid(d, coefs, [0, 2, 5]).collect()}
+    assert len(scores) == 3 * int(np.isin(month, [4, 6]).sum())
+    for fold in (4, 6):
+        tr, te = month < fold, month == fold
+        for k in (0, 2, 5):
+            z = [(core - core[tr].mean(0)) / core[tr].std(0)]
+            for c in (a, b):
+                w, v = functional.spectrum(np.cov(c[tr].T, bias=True))
+                z.append((c - c[tr].mean(0)) @ v[:, :k] / np.sqrt(w[:k]))
+            z = np.column_stack([np.ones(n), *z])
+            pen, th = np.eye(z.shape[1]), np.zeros(z.shape[1])
+            pen[0, 0] = 0
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-z[tr] @ th))
+                th = th + np.linalg.solve(z[tr].T @ (z[tr] * (p * (1 - p))[:, None]) + pen, z[tr].T @ (y[tr] - p) - pen @ th)
+            for i in np.flatnonzero(te)[:20]:
+                assert scores[int(i), k] == pytest.approx(1 / (1 + np.exp(-z[i] @ th)), abs=1e-5)
 
 
 def test_smoother_trace_and_linear_curves():
