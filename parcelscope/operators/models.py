@@ -147,7 +147,7 @@ def _cluster_cov(d, names, e, cluster, inv, n) -> np.ndarray:
     return part([cluster[0]]) + part([cluster[1]]) - part(cluster)
 
 
-def logit(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, max_iter: int = 200, tol: float = 1e-9) -> Fit:
+def logit(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, max_iter: int = 30, tol: float = 1e-9) -> Fit:
     """Logistic or fractional-logit fit by Newton steps (one aggregate per step); HC1 errors."""
     names = ["const", *xs]
     d = design(df, y, xs)
@@ -166,15 +166,14 @@ def logit(df: DataFrame, y: str, xs: list[str], ridge: float = 0.0, max_iter: in
         beta = beta + step * min(1.0, 5.0 / size if size > 0 else 1.0)
         if size < tol:
             break
-    else:
-        raise ArithmeticError(f"no convergence in {max_iter} Newton steps")
+    converged = size < tol
     r = F.col("_y") - mu
     h, _, (n, llf) = products(at(beta), names, mu * (1 - mu), r, [F.count(F.lit(1)), ll])
     meat, _, _ = products(at(beta), names, r * r, r)
     inv = np.linalg.pinv(h + pen)
     k = len(names)
     d.unpersist()
-    return Fit(names, beta, inv, inv @ meat @ inv * n / max(n - k, 1), n, {"llf": llf, "aic": 2 * k - 2 * llf, "bic": k * np.log(n) - 2 * llf})
+    return Fit(names, beta, inv, inv @ meat @ inv * n / max(n - k, 1), n, {"llf": llf, "aic": 2 * k - 2 * llf, "bic": k * np.log(n) - 2 * llf, "converged": converged})
 
 
 def benjamini_hochberg(coefs: DataFrame, p: str = "p_value") -> DataFrame:
