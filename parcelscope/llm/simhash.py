@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.llm.common import cut, whole_text
@@ -125,8 +125,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = BITS) -> Dat
 
 # Near copies by similarity -------------------------------------------------------------------------
 
-#: A size class has up to this many views, and samples of about 128 to 256 shingles.
+#: A size class has up to this many views, of samples of about 128 to 256 shingles.
 VIEWS, SAMPLE_BITS = 16, 7
+#: Rounds of hubs, hubs of a list and round, and members of a list whose pairs are listed without a filter.
+HUB_ROUNDS, HUBS, FEW = 2, 2, 16
 
 
 def partial_prints(h: np.ndarray) -> list[tuple[int, int, int]]:
@@ -149,7 +151,7 @@ def partial_prints(h: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """Rows with whole and partial fingerprints and the sampled shingles (upper hash bits, ascending)."""
+    """Rows with whole and partial fingerprints, all different shingle hashes (ascending) and their hash ``id``."""
     text = whole_text(docs)
     kind = text.schema["doc_id"].dataType.simpleString()
     part = pa.list_(pa.struct([("c", pa.int32()), ("j", pa.int32()), ("f", pa.int64())]))
@@ -157,8 +159,10 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     def mapped(batches):
         import zlib
 
+        import xxhash
+
         for batch in batches:
-            crc, fp, n, sample, parts = [], [], [], [], []
+            crc, fp, ids, n, every, parts = [], [], [], [], [], []
             for t in batch.column("text"):
                 raw = t.as_py().encode()
                 h = hashes(shingles(raw, width))
@@ -166,52 +170,124 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 fp.append(majority(h))
                 h = np.unique(h)
                 n.append(len(h))
-                bits = max(0, len(h).bit_length() - 1 - SAMPLE_BITS)
-                sample.append((h[: np.searchsorted(h, np.uint64(1 << (64 - bits)))] if bits else h) >> np.uint64(33))
+                ids.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), 42)))
+                every.append(h.view(np.int64))
                 parts.append([{"c": c, "j": j, "f": _signed(f)} for c, j, f in partial_prints(h)])
             prints = np.array(fp, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(prints.view(np.int64)), pa.array(grid_point(prints)), pa.array(n, pa.int64()),
-                 pa.array([x.astype(np.int32) for x in sample], pa.list_(pa.int32())), pa.array(parts, part)],
-                ["doc_id", "crc", "fp", "point", "n", "sample", "parts"])
-
-    return text.mapInArrow(mapped, f"doc_id {kind}, crc long, fp long, point long, n long, sample array<int>, parts array<struct<c:int,j:int,f:long>>")
-
-
-def resemblance(a: str, b: str) -> Column:
-    """Jaccard similarity of two samples, at the coarser threshold of both; exact for texts of up to 255 different shingles."""
-    bits = F.greatest(*(F.greatest(F.floor(F.log2(F.greatest(F.col(f"n{x}"), F.lit(1)))) - SAMPLE_BITS, F.lit(0)) for x in (a, b))).cast("int")
-    fine = lambda x: F.filter(f"sample{x}", lambda v: F.call_function("shiftrightunsigned", v, F.lit(31) - bits) == 0)
-    common = F.size(F.array_intersect(fine(a), fine(b)))
-    every = F.size(fine(a)) + F.size(fine(b)) - common
-    return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
+                [batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(prints.view(np.int64)), pa.array(grid_point(prints)), pa.array(ids, pa.int64()),
+                 pa.array(n, pa.int64()), pa.array(every, pa.list_(pa.int64())), pa.array(parts, part)],
+                ["doc_id", "crc", "fp", "point", "id", "n", "hashes", "parts"])
+
+    return text.mapInArrow(mapped, f"doc_id {kind}, crc long, fp long, point long, id long, n long, hashes array<long>, parts array<struct<c:int,j:int,f:long>>")
+
+
+def _lists(rows: DataFrame, bits: int) -> DataFrame:
+    """``view, id, n``: texts that may be near copies share a view; views of the same texts are listed once."""
+    texts = rows.groupBy("id").agg(F.min("n").alias("n"), F.min("parts").alias("parts"))
+    agree = texts.select("id", "n", F.explode("parts").alias("p")).select(F.xxhash64("p.c", "p.j", "p.f").alias("view"), "id", "n")
+    whole = cut(rows.select("fp", "point", "id", "n").distinct(), "copies_prints")
+    same = whole.select(F.xxhash64(F.lit("whole"), "fp").alias("view"), "id", "n")
+    # fingerprints that have another one within ``bits``: two are that near if and only if they share a word within one bit of both
+    prints = whole.groupBy("fp", "point").agg(F.min("id").alias("name"))
+    near = links(prints.withColumnRenamed("name", "id"), bits)
+    near = near.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(prints, "name").select("fp")
+    flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))]
+    words = whole.join(near, "fp").select(F.explode(F.array(*flips)).alias("word"), "id", "n").select(F.xxhash64(F.lit("word"), "word").alias("view"), "id", "n")
+    every = agree.unionByName(same).unionByName(words)
+    sizes = every.groupBy("view").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("low < high")
+    once = sizes.groupBy("m", "low", "high", "sum").agg(F.min("view").alias("view")).select("view", "m")
+    met = cut(every.join(once, "view").distinct(), "copies_met")
+    # a text that others differ from in single places shares more views than they do
+    weight = met.groupBy("id").agg(F.sum("m").alias("central"))
+    return cut(met.join(weight, "id").select("view", "id", "n", "central"), "copies_lists")
+
+
+def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists whose texts are not in one component yet, with ``component`` and how many of the list are in it (``own``)."""
+    held = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = held.groupBy("view", "component").agg(F.count("*").alias("own"))
+    several = parts.groupBy("view").agg(F.count("*").alias("parts"), F.max(F.struct("own", "component")).alias("top"), F.sum("own").alias("m")).filter("parts > 1")
+    return held.join(several.select("view", "parts", "m", F.col("top.component").alias("top")), "view")
+
+
+def _hub_pairs(held: DataFrame, similar: float) -> DataFrame:
+    """Pairs of each list's members with a few of its most central ones outside its largest component: linear."""
+    order = F.struct("central", F.xxhash64("view", "id"), "id", "n", "component")
+    # two maxima by partial sums, no sorted window
+    first = held.filter("component <> top or parts = m").groupBy("view").agg(F.max(order).alias("h"))
+    hubs = first
+    for _ in range(HUBS - 1):
+        rest = held.filter("component <> top or parts = m").join(hubs.groupBy("view").agg(F.min("h").alias("least")), "view").filter(order < F.col("least"))
+        hubs = hubs.unionByName(rest.groupBy("view").agg(F.max(order).alias("h")))
+    return _sized(held.join(hubs, "view").select("id", "n", "component", F.col("h.id").alias("hub"), F.col("h.n").alias("hn"), F.col("h.component").alias("hc")), "hub", "hn", "hc", similar)
+
+
+def _sized(met: DataFrame, other: str, n: str, component: str, similar: float) -> DataFrame:
+    """Different pairs of two components whose sizes allow the similarity."""
+    met = met.filter((F.col("component") != F.col(component)) & (F.least("n", n) >= similar * F.greatest("n", n)))
+    return met.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+
+
+def _rest_pairs(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """All pairs of two components within a list that can reach the similarity.
+
+    Lists of a few texts give their pairs. In longer ones, a pair that is similar shares a shingle among the first ``n - similar * n + 1`` of both
+    in any one order of shingles; the order is by how many of the list have them, so that what a list has in common pairs nobody.
+    """
+    columns = ("view", "id", "n", "component")
+    other = lambda x, *on: x.select(*on, F.col("id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
+    few = held.filter(F.col("m") <= FEW).select(*columns)
+    pairs = few.join(other(few, "view"), "view").filter("id < o")
+    many = held.filter(F.col("m") > FEW).select(*columns)
+    listed = cut(many.join(sets.select("id", "hashes"), "id").select(*columns, F.explode("hashes").alias("h")), "copies_shingles")
+    often = listed.groupBy("view", "h").agg(F.count("*").alias("often")).filter("often > 1")
+    # a shingle that only one text of the list has comes first and pairs nobody: only its number counts
+    shared = listed.join(often, ["view", "h"]).groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared"))
+    take = F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    prefix = shared.withColumn("take", take.cast("int")).filter("take > 0").select(*columns, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select(*columns, F.col("x.h").alias("h"))
+    prefix = cut(prefix, "copies_prefixes")
+    kept = prefix.join(prefix.groupBy("view", "h").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u <> v").select("view", "h"), ["view", "h"])
+    long = kept.join(other(kept, "view", "h"), ["view", "h"]).filter("id < o").drop("h")
+    return _sized(pairs.unionByName(long), "o", "on", "oc", similar)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs that have the Jaccard similarity, beyond 255 shingles on a threshold sample of both."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    bits = F.greatest(F.floor(F.log2(F.greatest(F.size("ha"), F.size("hb"), F.lit(1)))) - SAMPLE_BITS, F.lit(0)).cast("int")
+    for h in ("ha", "hb"):
+        both = both.withColumn(f"{h}s", F.when(bits == 0, F.col(h)).otherwise(F.filter(h, lambda v: F.call_function("shiftrightunsigned", v, F.lit(64) - bits) == 0)))
+    both = both.select("a", "b", F.size(F.array_intersect("has", "hbs")).alias("common"), (F.size("has") + F.size("hbs")).alias("sum"))
+    return both.filter(F.col("common") >= similar * (F.col("sum") - F.col("common"))).select("a", "b")
 
 
 def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bits: int = BITS) -> DataFrame:
     """``doc_id, crc, group`` of every row: groups of texts linked by a similarity of at least ``similar``.
 
-    Candidates are texts with whole fingerprints within ``bits`` and texts that agree on a partial one. Those of one partial fingerprint are compared with three of them
-    (least and greatest id and the least by a hash), never all with all; other views have other ones. Equal texts are compared once.
+    Candidates are texts with whole fingerprints within ``bits`` and texts that agree on a partial one; each such set of texts is a list. Members are first compared
+    with a few central ones of their list, in rounds; then every pair of a list that is still in two components is compared, except those that sizes or prefixes of
+    shingles prove to be below the similarity. Texts of equal shingles are compared once.
     """
     rows = cut(described(docs, width), "copies_rows")
-    rows = rows.withColumn("key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc"))
-    texts = cut(rows.groupBy("fp", "point", "n", "sample").agg(F.min("key").alias("key"), F.min("parts").alias("parts")).withColumn("id", F.xxhash64("fp", "n", "sample")), "copies_texts")
-    prints = texts.groupBy("fp", "point").agg(F.min("id").alias("id"))
-    close = links(prints, bits).unionByName(texts.select("fp", F.col("id").alias("a")).join(prints.select("fp", F.col("id").alias("b")), "fp").filter("a <> b").select("a", "b"))
-    agree = texts.select("id", F.explode("parts").alias("p")).select("id", F.xxhash64("p.c", "p.j", "p.f").alias("view"))
-    order = F.struct(F.xxhash64("view", "id"), "id")
-    hubs = agree.groupBy("view").agg(F.count("*").alias("m"), F.array(F.min("id"), F.max("id"), F.min(order)["id"]).alias("hubs")).filter("m > 1")
-    shared = agree.join(hubs, "view").select(F.explode("hubs").alias("a"), F.col("id").alias("b")).filter("a <> b")
-    pairs = close.unionByName(shared).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    known = texts.select("id", "n", "sample")
-    side = lambda x: known.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sample").alias(f"sample{x}"))
-    # sizes rule most chance pairs out before samples are moved
-    sized = pairs.join(known.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(known.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.filter(F.least("na", "nb") >= similar * F.greatest("na", "nb")).select("a", "b")
-    linked = sized.join(side("a"), "a").join(side("b"), "b").filter(resemblance("a", "b") >= similar).select("a", "b")
-    found = components(linked)
-    grouped = texts.join(found, "id", "left").select("fp", "n", "sample", F.coalesce("component", "id").alias("group"))
-    return rows.join(grouped, ["fp", "n", "sample"]).select("doc_id", "crc", "group")
+    lists = _lists(rows, bits)
+    # shingles of candidates only
+    sets = cut(rows.select("id", "hashes").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "copies_sets")
+    linked = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    found = lists.select("id", F.col("id").alias("component")).limit(0)
+    for step in range(HUB_ROUNDS + 1):
+        held = cut(_open(lists, found), "copies_open")
+        if held.isEmpty():
+            break
+        pairs = _hub_pairs(held, similar) if step < HUB_ROUNDS else _rest_pairs(held, sets, similar)
+        new = cut(_similar(pairs, sets, similar), "copies_links")
+        if new.isEmpty():
+            continue
+        linked = linked.unionByName(new)
+        found = cut(components(linked), "copies_components")
+    grouped = found.select("id", F.col("component").alias("group"))
+    return rows.select("doc_id", "crc", "id").join(grouped, "id", "left").select("doc_id", "crc", F.coalesce("group", "id").alias("group"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
