@@ -253,13 +253,10 @@ def _rest_pairs(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs that have the Jaccard similarity, beyond 255 shingles on a threshold sample of both."""
+    """The pairs that have the Jaccard similarity on their whole sets of shingles."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    bits = F.greatest(F.floor(F.log2(F.greatest(F.size("ha"), F.size("hb"), F.lit(1)))) - SAMPLE_BITS, F.lit(0)).cast("int")
-    for h in ("ha", "hb"):
-        both = both.withColumn(f"{h}s", F.when(bits == 0, F.col(h)).otherwise(F.filter(h, lambda v: F.call_function("shiftrightunsigned", v, F.lit(64) - bits) == 0)))
-    both = both.select("a", "b", F.size(F.array_intersect("has", "hbs")).alias("common"), (F.size("has") + F.size("hbs")).alias("sum"))
+    both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("common"), (F.size("ha") + F.size("hb")).alias("sum"))
     return both.filter(F.col("common") >= similar * (F.col("sum") - F.col("common"))).select("a", "b")
 
 
@@ -268,7 +265,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bits:
 
     Candidates are texts with whole fingerprints within ``bits`` and texts that agree on a partial one; each such set of texts is a list. Members are first compared
     with a few central ones of their list, in rounds; then every pair of a list that is still in two components is compared, except those that sizes or prefixes of
-    shingles prove to be below the similarity. Texts of equal shingles are compared once.
+    shingles prove to be below the similarity. The comparison is exact, on all shingles of both. Texts of equal shingles are compared once.
     """
     rows = cut(described(docs, width), "copies_rows")
     lists = _lists(rows, bits)

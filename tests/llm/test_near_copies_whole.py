@@ -53,3 +53,17 @@ def test_chain_through_a_text_that_a_hub_took(spark):
     r.shuffle(order)
     got = groups(spark, [texts[i] for i in order])
     assert len(set(got.values())) == 1
+
+
+@pytest.mark.parametrize("n", [250, 1000, 3000])
+def test_similarity_is_exact_for_long_texts(spark, n):
+    r = random.Random(n)
+    texts, near = [], []
+    for k in range(40):
+        base = words(r, n + 4)
+        least = next(c for c in range(n) if (n - c) < 0.8 * (n + c))  # so many changed shingles are too many
+        count = least - 1 if k % 2 else least  # each last words changed, so the number of changed shingles is exact
+        texts += [base, base[: n + 4 - count] + words(r, count)]
+        near.append(count < least)
+    got = groups(spark, texts)
+    assert [got[2 * k] == got[2 * k + 1] for k in range(40)] == near
