@@ -3,12 +3,12 @@
 Base spans are the leftmost non-overlapping matches per kind that pass the kind's test. They are the seeds of a graph of lexical
 patterns (a kind and the two words to the left) and instances (the matched strings). Tokens that look like identifiers but
 match no base pattern are the unlabelled instances. Rounds of two steps score the graph: a pattern's confidence is the
-confidence of its instances over the number of times its two words occur anywhere in the corpus; an instance's is the noisy-or of its
+confidence of its instances, each as often as it occurs after the two words, over the number of times these occur anywhere in the corpus; an instance's is the noisy-or of its
 patterns'. Patterns need several different seeds and a high confidence; instances that pass join the seeds of the
 next round. Spans of accepted instances after accepted patterns are added; base spans never change.
 
 Everything is built-in functions. Matches per text become arrays in the row; the graph is aggregated over
-distinct (pattern, instance) before it is joined, so a hot pattern or instance is one row per partner.
+distinct (pattern, instance) with their counts before it is joined, so a hot pattern or instance is one row per partner.
 
 Null and empty texts have no spans; repeated rows are kept and get equal spans; an empty table gives no rows; null ids are kept; other columns are
 ignored. Spans are code points, end exclusive.
@@ -163,19 +163,20 @@ def _corpus_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def bootstrap(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``kind, ctx, inst, confidence`` of what the graph accepts besides the seeds."""
-    seeds = found.select(F.explode("base").alias("m")).select("m.kind", "m.ctx", "m.inst").filter("ctx is not null").distinct()
+    times = F.sum("times").alias("times")
+    seeds = found.select(F.explode("base").alias("m")).select("m.kind", "m.ctx", "m.inst").filter("ctx is not null").groupBy("kind", "ctx", "inst").agg(F.count("*").alias("times"))
     able = seeds.groupBy("kind", "ctx").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SEEDS)
     contexts = cut(able.select("ctx").distinct(), "pii_contexts")
-    others = found.select(F.explode("tokens").alias("m")).select("m.kinds", "m.ctx", "m.inst").distinct()
+    others = found.select(F.explode("tokens").alias("m")).select("m.kinds", "m.ctx", "m.inst").groupBy("kinds", "ctx", "inst").agg(F.count("*").alias("times"))
     # tokens that are seeds themselves are known already
-    others = others.join(seeds.select("inst").distinct(), "inst", "left_anti").select(F.explode("kinds").alias("kind"), "ctx", "inst").distinct()
+    others = others.join(seeds.select("inst").distinct(), "inst", "left_anti").select(F.explode("kinds").alias("kind"), "ctx", "inst", "times").groupBy("kind", "ctx", "inst").agg(times)
     seed_edges = seeds.withColumn("conf", F.lit(1.0))
     edges = cut(seed_edges.unionByName(others.withColumn("conf", F.lit(0.0))), "pii_edges")
     totals = cut(_corpus_counts(docs, contexts), "pii_totals")
     score = edges.select("kind", "inst", "conf").groupBy("kind", "inst").agg(F.max("conf").alias("conf"))
     for _ in range(ROUNDS):
         held = edges.drop("conf").join(score, ["kind", "inst"])
-        pattern = held.groupBy("kind", "ctx").agg(F.sum("conf").alias("pos"), F.count("*").alias("n"), F.sum(F.when(F.col("conf") >= LEAST_CONFIDENCE, 1).otherwise(0)).alias("good"))
+        pattern = held.groupBy("kind", "ctx").agg(F.sum(F.col("conf") * F.col("times")).alias("pos"), F.sum("times").alias("n"), F.sum(F.when(F.col("conf") >= LEAST_CONFIDENCE, 1).otherwise(0)).alias("good"))
         pattern = pattern.filter(F.col("good") >= LEAST_SEEDS).join(totals, "ctx", "left")
         pattern = pattern.withColumn("p", F.round(F.col("pos") / F.greatest(F.coalesce("total", F.lit(0)), F.col("n")), 9)).filter(F.col("p") >= LEAST_CONFIDENCE).select("kind", "ctx", "p")
         told = edges.join(pattern, ["kind", "ctx"]).groupBy("kind", "inst").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("told"))
