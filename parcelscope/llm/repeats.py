@@ -30,7 +30,7 @@ from parcelscope.llm.common import cut, whole_text
 LENGTH, GRAM, SYMBOL = 100, 32, 25
 #: Distinct pieces that one group of anchors holds on average.
 GROUP_PIECES = 4_000
-#: Pieces of one anchor beyond this number are dealt by their windows' content instead.
+#: The windows of an anchor with more pieces than this are aggregated by their content instead.
 HOT = 20_000
 SHARD_PIECES = 2_000
 
@@ -262,11 +262,12 @@ def _merged(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     """Intervals from the merged transforms of the distinct pieces of anchors that have several."""
     kind = pieces.schema["doc_id"].dataType.simpleString()
     crowded = pieces.groupBy("h").count().filter(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
-    pieces = pieces.join(crowded, "h", "left")
+    # only distinct anchors that have over HOT pieces; a hot anchor's rows are split by adaptive execution
+    pieces = cut(pieces.join(crowded, "h", "left"), "repeats_pieces")
+    hot = _hot_windows(docs, pieces.filter("hot").drop("h", "hot"))
+    pieces = pieces.filter("hot is null").drop("hot")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    wanted = pieces.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("h", "first", "more", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("pieces"))
-    text = whole_text(docs).withColumn("crc", F.crc32("text")).dropDuplicates(["doc_id", "crc"])
-    with_text = text.join(wanted, text["doc_id"].eqNullSafe(wanted["doc_id"]) & (text["crc"] == wanted["crc"])).select(text["doc_id"], text["crc"], "text", "pieces")
+    with_text = _with_text(docs, pieces, "h", "first", "more")
 
     def cut_out(batches):
         names = ["g", "doc_id", "crc", "first", "bytes"]
@@ -275,18 +276,12 @@ def _merged(docs: DataFrame, pieces: DataFrame) -> DataFrame:
             row, g, first, part, crcs = [], [], [], [], []
             for i in range(batch.num_rows):
                 raw, crc, own = batch.column("text")[i].as_py().encode(), batch.column("crc")[i].as_py(), batch.column("pieces")[i].values
-                at, more, hot = own.field("first").to_pylist(), own.field("more").to_pylist(), own.field("hot").to_pylist()
+                at, more = own.field("first").to_pylist(), own.field("more").to_pylist()
                 deal = (own.field("h").to_numpy().view(np.uint64) % np.uint64(groups)).tolist()
-                for p, m, each, to in zip(at, more, hot, deal, strict=True):
-                    if each:  # window by window, dealt by content, so that no anchor's pieces need one task
-                        whole = gram_hashes(np.frombuffer(raw[p : p + m + LENGTH], dtype=np.uint8), LENGTH) % np.uint64(groups)
-                        g += whole.tolist()
-                        first += range(p, p + m + 1)
-                        part += [raw[s : s + LENGTH] for s in range(p, p + m + 1)]
-                    else:
-                        g.append(to)
-                        first.append(p)
-                        part.append(raw[p : p + m + LENGTH])
+                for p, m, to in zip(at, more, deal, strict=True):
+                    g.append(to)
+                    first.append(p)
+                    part.append(raw[p : p + m + LENGTH])
                 row += [i] * (len(g) - len(row))
                 crcs += [crc] * (len(g) - len(crcs))
                 if len(g) > 1 << 15 or i == batch.num_rows - 1:
@@ -311,7 +306,41 @@ def _merged(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row[low]], "crc": pdf["crc"].to_numpy()[row[low]], "low": start[low], "high": start[high]})
 
     strings = with_text.mapInArrow(cut_out, f"g long, doc_id {kind}, crc long, first long, bytes binary")
-    return cut(strings.groupBy("g").applyInPandas(group, f"doc_id {kind}, crc long, low long, high long"), "repeats_merged")
+    return hot.unionByName(cut(strings.groupBy("g").applyInPandas(group, f"doc_id {kind}, crc long, low long, high long"), "repeats_merged"))
+
+
+def _with_text(docs: DataFrame, pieces: DataFrame, *columns: str) -> DataFrame:
+    """``doc_id, crc, text, pieces`` of the documents that have pieces."""
+    wanted = pieces.groupBy("doc_id", "crc").agg(F.collect_set(F.struct(*columns)).alias("pieces"))
+    text = whole_text(docs).withColumn("crc", F.crc32("text")).dropDuplicates(["doc_id", "crc"])
+    return text.join(wanted, text["doc_id"].eqNullSafe(wanted["doc_id"]) & (text["crc"] == wanted["crc"])).select(text["doc_id"], text["crc"], "text", "pieces")
+
+
+def _hot_windows(docs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Intervals of later windows of anchors with very many pieces (``doc_id, crc, first, more``).
+
+    All windows equal to one of theirs are among theirs. The earliest of each content is found by partial aggregation, one row per task and content; all others
+    are later ones. They are told apart by document and place, so nothing is dealt by a content that many documents have.
+    """
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+
+    def windows(batches):
+        names = ["doc_id", "crc", "low", "bytes"]
+        for batch in batches:
+            ids, crc = batch.column("doc_id"), batch.column("crc")
+            for i in range(batch.num_rows):
+                raw, own = batch.column("text")[i].as_py().encode(), batch.column("pieces")[i].values
+                for p, m in zip(own.field("first").to_pylist(), own.field("more").to_pylist(), strict=True):
+                    n = m + 1  # at most LENGTH: an anchor lies in all of its windows
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array([i] * n)), crc.take(pa.array([i] * n)), pa.array(range(p, p + n), pa.int64()), pa.array([raw[x : x + LENGTH] for x in range(p, p + n)], pa.binary())], names)
+
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc", "low")
+    each = _with_text(docs, pieces, "first", "more").mapInArrow(windows, f"doc_id {kind}, crc long, low long, bytes binary")
+    earliest = each.groupBy("bytes").agg(F.min(place).alias("k")).select("k.doc_id", "k.crc", "k.low")
+    every = pieces.distinct().select("doc_id", "crc", F.explode(F.expr("sequence(first, first + more)")).alias("low"))
+    later = every.join(earliest, every["doc_id"].eqNullSafe(earliest["doc_id"]) & (every["crc"] == earliest["crc"]) & (every["low"] == earliest["low"]), "left_anti")
+    return cut(later.select("doc_id", "crc", "low", F.col("low").alias("high")), "repeats_hot")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
