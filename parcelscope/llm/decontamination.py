@@ -10,7 +10,7 @@ document has must reach the threshold.
 
 Words are runs of letters and digits in lower case; shingles have five words, and an item of fewer words is one shingle of
 all its words, looked up at that width. Null and empty texts, of items too, match nothing; repeated documents come back once per row with equal
-results, repeated items once per item_id; empty tables give no rows; other columns are ignored.
+results, repeated items once per item_id, items without one too; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,11 +52,13 @@ def shingles(text: Column, width: int) -> Column:
 
 def prepare(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """Items with their width (five words or all) and different shingles; those without words are left out."""
-    own = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.size(words(F.col("text")))).filter("words > 0")
+    own = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = own.withColumn("item", F.xxhash64(F.col("item_id").isNull(), F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")).dropDuplicates(["item"])
+    own = own.withColumn("words", F.size(words(F.col("text")))).filter("words > 0")
     own = own.withColumn("width", F.least("words", F.lit(width)))
     by_width = F.coalesce(*(F.when(F.col("width") == n, shingles(F.col("text"), n)) for n in range(1, width + 1)))
     hashed = F.coalesce(*(F.when(F.col("width") == n, F.array_distinct(hashes(F.col("text"), n))) for n in range(1, width + 1)))
-    return own.select("item_id", "width", by_width.alias("shingles"), hashed.alias("hashes"))
+    return own.select("item", "item_id", "width", by_width.alias("shingles"), hashed.alias("hashes"))
 
 
 def matches(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, contained: float = CONTAINED) -> DataFrame:
@@ -66,7 +68,7 @@ def matches(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, contained:
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``width`` numbers
     if not widths:
         return text.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
-    listed = items.select("item_id", "width", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    listed = items.select("item", "width", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     few = items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0))).first()[0] <= BROADCAST_ROWS
     side = F.broadcast if few else (lambda x: x)
     met = []
@@ -74,12 +76,12 @@ def matches(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, contained:
         full, short = listed.filter((F.col("width") == n) & (F.col("n") >= SHORT)), listed.filter((F.col("width") == n) & (F.col("n") < SHORT))
         # one pass: every shingle hash with a mark where it is the least of its bin
         rows = text.select("key", F.explode(_marked(hashes(F.col("text"), n))).alias("x")).select("key", "x.h", "x.least")
-        wanted = full.select("h", "item_id", F.lit(True).alias("only_least")).unionByName(short.select("h", "item_id", F.lit(False).alias("only_least")))
-        met.append(rows.join(side(wanted), "h").filter("least or not only_least").select("key", "item_id"))
+        wanted = full.select("h", "item", F.lit(True).alias("only_least")).unionByName(short.select("h", "item", F.lit(False).alias("only_least")))
+        met.append(rows.join(side(wanted), "h").filter("least or not only_least").select("key", "item"))
     pairs = cut(reduce(DataFrame.unionByName, met).distinct(), "contained_pairs")
     # texts of candidates only; a text with many candidates is read once and its shingles are compared with each
     found = text.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    checked = pairs.join(found, "key").join(side(items), "item_id")
+    checked = pairs.join(found, "key").join(side(items), "item")
     has = F.coalesce(*(F.when(F.col("width") == n, F.array_intersect("shingles", shingles(F.col("text"), n))) for n in widths))
     scored = checked.select("key", "item_id", F.size("shingles").cast("long").alias("n_shingles"), F.size(has).cast("long").alias("n_shared"))
     scored = scored.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= contained).distinct()
