@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = BITS) -> Dat
 VIEWS, SAMPLE_BITS = 16, 7
 #: Rounds of hubs, hubs of a list and round, and members of a list whose pairs are listed without a filter.
 HUB_ROUNDS, HUBS, FEW = 2, 2, 16
+SLOTS = 1 << 18
 
 
 def partial_prints(h: np.ndarray) -> list[tuple[int, int, int]]:
@@ -203,6 +204,17 @@ def _lists(rows: DataFrame, bits: int) -> DataFrame:
     return cut(met.join(weight, "id").select("view", "id", "n", "central"), "copies_lists")
 
 
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, hashes`` of the wanted texts, once per text."""
+    # one byte per slot of the id, set where a wanted one lies: at most SLOTS numbers reach the driver, and shingles of most other texts are not moved
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
+    mask = bytearray(SLOTS)
+    for r in wanted.select(slot.alias("slot")).distinct().collect():
+        mask[r["slot"]] = 1
+    maybe = rows.select("id", "hashes").filter(F.substring(F.lit(bytes(mask)), slot + 1, F.lit(1)) == F.lit(b"\x01"))
+    return maybe.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
     """Lists whose texts are not in one component yet, with ``component`` and how many of the list are in it (``own``)."""
     held = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -269,8 +281,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bits:
     """
     rows = cut(described(docs, width), "copies_rows")
     lists = _lists(rows, bits)
-    # shingles of candidates only
-    sets = cut(rows.select("id", "hashes").join(lists.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "copies_sets")
+    sets = cut(_sets(rows, lists.select("id").distinct()), "copies_sets")
     linked = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     found = lists.select("id", F.col("id").alias("component")).limit(0)
     for step in range(HUB_ROUNDS + 1):
