@@ -252,10 +252,10 @@ def _rest_pairs(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     few = held.filter(F.col("m") <= FEW).select(*columns)
     pairs = few.join(other(few, "view"), "view").filter("id < o")
     many = held.filter(F.col("m") > FEW).select(*columns)
-    listed = cut(many.join(sets.select("id", "hashes"), "id").select(*columns, F.explode("hashes").alias("h")), "copies_shingles")
+    listed = many.select("view", "id").join(sets, "id").select("view", "id", F.explode("hashes").alias("h"))
     often = listed.groupBy("view", "h").agg(F.count("*").alias("often")).filter("often > 1")
     # a shingle that only one text of the list has comes first and pairs nobody: only its number counts
-    shared = listed.join(often, ["view", "h"]).groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared"))
+    shared = listed.join(often, ["view", "h"]).groupBy("view", "id").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(many, ["view", "id"])
     take = F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
     prefix = shared.withColumn("take", take.cast("int")).filter("take > 0").select(*columns, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select(*columns, F.col("x.h").alias("h"))
     prefix = cut(prefix, "copies_prefixes")
