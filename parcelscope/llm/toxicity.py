@@ -174,6 +174,27 @@ def predict(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def bounded(rows: list[dict], most: int | None = None) -> list[dict]:
+    """The rows that fit into ``most`` bytes, in their order: each class has its share, then what is left goes to any; at least the shortest text of each class stays."""
+    most = SAMPLE_BYTES if most is None else most
+    sizes, kept = [len(r["text"].encode()) for r in rows], set()
+    for y, n in SAMPLE.items():
+        own, room = [i for i, r in enumerate(rows) if r["y"] == y], most * n // sum(SAMPLE.values())
+        first = len(kept)
+        for i in own:  # a text that doesn't fit is passed over
+            if sizes[i] <= room:
+                kept.add(i)
+                room -= sizes[i]
+        if own and len(kept) == first:
+            kept.add(min(own, key=lambda i: (sizes[i], i)))
+    room = most - sum(sizes[i] for i in kept)
+    for i in range(len(rows)):
+        if i not in kept and sizes[i] <= room:
+            kept.add(i)
+            room -= sizes[i]
+    return [rows[i] for i in sorted(kept)]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fit on the bounded sample in one task; the driver gets the table of one number per hash."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
@@ -182,14 +203,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     chosen = cut(chosen[0].unionByName(chosen[1]), "toxicity_sample")  # at most 4,000 ids
 
     def fitted(batches):
-        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["order"], r["text"]))
-        texts, y, size = [], [], 0
-        for r in rows:
-            size += len(r["text"].encode())
-            if texts and size > SAMPLE_BYTES:
-                break
-            texts.append(r["text"])
-            y.append(r["y"])
+        rows = bounded(sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["order"], r["text"])))
+        texts, y = [r["text"] for r in rows], [r["y"] for r in rows]
         table, bias = fit(texts, np.array(y)) if texts else (np.zeros(1 << BITS), 0.0)
         yield pa.RecordBatch.from_pydict({"table": [table.astype("<f4").tobytes()], "bias": [bias]})
 
