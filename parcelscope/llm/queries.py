@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelscope.llm import decontamination, packing, pii, repeats, sharding, simhash, sketches, token_counts, toxicity, warc
+from parcelscope.llm import decontamination, infill, line_dedup, packing, pii, prefix_trie, repeats, sharding, simhash, sketches, token_counts, toxicity, warc
+from parcelscope.llm import oracles
 from parcelscope.llm.common import table
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: None of these can be said in SQL over whole tables; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The others can't be said in SQL over whole tables; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op11_prefix_trie": oracles.PREFIX_TRIE, "op12_fill_in_middle": oracles.FILL_IN_MIDDLE, "op13_line_dedup": oracles.LINE_DEDUP}
 
 
 def query(fn):
@@ -69,3 +70,18 @@ def op9_decontamination(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(prefix_trie.rebuild(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return infill.digests(infill.transform(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
