@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import cut, whole_text
+from parcelscope.llm.common import cut, fresh, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns written without backtracking that cannot succeed: possessive runs, and starts only where a run starts or
@@ -221,17 +221,18 @@ def joined(spans_: Column) -> Column:
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span of its text replaced by its kind in angle brackets; all columns stay as they are else."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    every = spans(docs).select(F.col("key").alias("__key"), F.concat("base", "added").alias("__spans")).filter(F.size("__spans") > 0).dropDuplicates(["__key"])
-    order = F.array_sort(F.transform("__spans", lambda m: F.struct(m["s"].alias("s"), (-m["e"]).alias("e"), m["kind"].alias("kind"))))
+    key, spans_ = fresh(docs, "text_key"), fresh(docs, "text_spans")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    every = spans(docs).select(F.col("key").alias(key), F.concat("base", "added").alias(spans_)).filter(F.size(spans_) > 0).dropDuplicates([key])
+    order = F.array_sort(F.transform(spans_, lambda m: F.struct(m["s"].alias("s"), (-m["e"]).alias("e"), m["kind"].alias("kind"))))
     # overlapping spans are masked once, from the first start to the last end
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def put(state: Column, m: Column) -> Column:
-        fresh = m["s"] >= state["at"]
+        apart = m["s"] >= state["at"]
         gap = F.when(m["s"] > state["at"], F.substring(F.col("text"), state["at"] + 1, m["s"] - state["at"])).otherwise("")
-        return F.struct(F.concat(state["out"], gap, F.when(fresh, F.concat(F.lit("<"), m["kind"], F.lit(">"))).otherwise("")).alias("out"), F.greatest(state["at"], -m["e"]).alias("at"))
+        return F.struct(F.concat(state["out"], gap, F.when(apart, F.concat(F.lit("<"), m["kind"], F.lit(">"))).otherwise("")).alias("out"), F.greatest(state["at"], -m["e"]).alias("at"))
 
     done = F.aggregate(order, zero, put, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    masked = keyed.join(every, "__key", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(done))
+    masked = keyed.join(every, key, "left").withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(done))
     return masked.select(*docs.columns)

@@ -70,18 +70,26 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) ->
     return mode
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``, 0 and up among equal rows, so that rows and not ids are permuted: numbers within a split, and what earlier splits hold."""
+    same = ["doc_id", "size", "text_crc32"]
+    own = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*same, "split").orderBy("size")) - 1)
+    held = rows.groupBy(*same, "split").agg(F.count("*").alias("n"))
+    before = held.withColumn("before", F.sum("n").over(Window.partitionBy(*same).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)))
+    # only keys that several splits hold have anything before
+    before = before.filter("before is not null").select(*(F.col(c).alias(f"o_{c}") for c in same), F.col("split").alias("o_split"), "before")
+    on = own["doc_id"].eqNullSafe(before["o_doc_id"]) & (own["size"] == before["o_size"]) & (own["text_crc32"] == before["o_text_crc32"]) & (own["split"] == before["o_split"])
+    return own.join(before, on, "left").withColumn("copy", F.col("copy") + F.coalesce("before", F.lit(0)))
+
+
 def shard(docs: DataFrame, shards: int = 16, *, seed: int = 7, partition_rows: int = 4096) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``; shard counts differ by at most one."""
     spark = docs.sparkSession
     text = whole_text(docs)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = cut(
-        text.select(
-            "doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"),
-            F.xxhash64(key, F.lit(seed), F.lit("first")).alias("first"), F.xxhash64(key, F.lit(seed), F.lit("again")).alias("again"),
-        ),
-        "shard_rows",
-    )
+    plain = cut(text.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"), F.spark_partition_id().alias("split")), "shard_plain")
+    drawn = [key, F.col("doc_id").isNull(), F.col("text_crc32"), F.col("copy"), F.lit(seed)]
+    rows = cut(_numbered(plain).select("doc_id", "size", "text_crc32", F.xxhash64(*drawn, F.lit("first")).alias("first"), F.xxhash64(*drawn, F.lit("again")).alias("again")), "shard_rows")
     total = rows.count()
     parts = max(1, -(-total // max(partition_rows, -(-total // MOST_PARTITIONS))))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.col("first"), F.lit("part")), F.lit(parts)))

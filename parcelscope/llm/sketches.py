@@ -73,10 +73,11 @@ def with_next(rows: DataFrame, columns: list[str], per_bucket: int = 2048, most:
     inside = Window.partitionBy("bucket").orderBy("doc_id", "text")
     here = dealt.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns}).withColumn("inner", F.lead("bucket").over(inside).isNotNull())
     first = cut(dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "text", *(c for c in columns if c != "text"))).alias("head")), "sketch_heads")
-    # one row per range, so at most ``most`` rows in this window
+    # only the ranges' numbers go through this window, at most ``most``; their heads with the texts come by a join
     along = Window.orderBy("bucket")
-    after = F.coalesce(F.lead("head").over(along), F.first("head").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    joined = here.join(first.select("bucket", after.alias("after")), "bucket")
+    follows = F.coalesce(F.lead("bucket").over(along), F.first("bucket").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    after = first.select("bucket", follows.alias("follows")).join(first.select(F.col("bucket").alias("follows"), F.col("head").alias("after")), "follows")
+    joined = here.join(after.drop("follows"), "bucket")
     return joined.select(*rows.columns, *(F.when(F.col("inner"), F.col(f"next_{c}")).otherwise(F.col(f"after.{c}")).alias(f"next_{c}") for c in columns))
 
 

@@ -177,7 +177,7 @@ def predict(texts: list[str], table: np.ndarray, bias: float) -> np.ndarray:
 def bounded(rows: list[dict], most: int | None = None) -> list[dict]:
     """The rows that fit into ``most`` bytes, in their order: each class has its share, then what is left goes to any; at least the shortest text of each class stays."""
     most = SAMPLE_BYTES if most is None else most
-    sizes, kept = [len(r["text"].encode()) for r in rows], set()
+    sizes, kept = [r["size"] if "size" in r else len(r["text"].encode()) for r in rows], set()
     for y, n in SAMPLE.items():
         own, room = [i for i, r in enumerate(rows) if r["y"] == y], most * n // sum(SAMPLE.values())
         first = len(kept)
@@ -202,13 +202,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     chosen = [known.filter(F.col("y") == y).orderBy("order", "doc_id").limit(n) for y, n in SAMPLE.items()]
     chosen = cut(chosen[0].unionByName(chosen[1]), "toxicity_sample")  # at most 4,000 ids
 
+    # one text of an id; sizes alone decide which of them meet in the task that fits
+    one = whole_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("order", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("order", "y", "t.text")
+    one = cut(one, "toxicity_texts")
+    sizes = [r.asDict() for r in one.select("order", "y", F.octet_length("text").alias("size")).collect()]  # at most 4,000 numbers
+    within = [(r["order"],) for r in bounded(sorted(sizes, key=lambda r: r["order"]))]
+
     def fitted(batches):
-        rows = bounded(sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["order"], r["text"])))
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["order"])
         texts, y = [r["text"] for r in rows], [r["y"] for r in rows]
         table, bias = fit(texts, np.array(y)) if texts else (np.zeros(1 << BITS), 0.0)
         yield pa.RecordBatch.from_pydict({"table": [table.astype("<f4").tobytes()], "bias": [bias]})
 
-    sample = whole_text(docs).join(F.broadcast(chosen), "doc_id").select("order", "text", "y")
+    sample = one.join(F.broadcast(docs.sparkSession.createDataFrame(within, "order long")), "order")
     row = sample.repartition(1).mapInArrow(fitted, "table binary, bias double").first()
     return (np.zeros(1 << BITS), 0.0) if row is None else (np.frombuffer(row["table"], dtype="<f4").astype(float), row["bias"])
 

@@ -146,7 +146,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                     raise ValueError(f"{path} has {seen} records; the manifest says {n}")
                 yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    return manifest.select("path", "records").repartition(F.col("path")).mapInArrow(read, _RECORD)
+    # archives are dealt out evenly by number: left to adaptive execution, a small manifest would be one task
+    tasks = min(manifest.count(), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4)
+    return manifest.select("path", "records").repartition(max(1, tasks)).mapInArrow(read, _RECORD)
 
 
 def round_trip(pages: DataFrame, *, least: int = 100) -> DataFrame:
