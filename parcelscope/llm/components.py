@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import cut
+from parcelscope.llm.common import cut, release
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,8 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     now = cut(_ordered(edges), "components")
     seen = None
     for _ in range(most_rounds):
-        now = cut(_small_star(_large_star(now)), "components")
+        before, now = now, cut(_small_star(_large_star(now)), "components")
+        release(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
         if state == seen:
             nodes = now.select(F.col("high").alias("id"), F.col("low").alias("component"))

@@ -17,12 +17,14 @@ other columns are ignored. Null ids are kept and never name a component unless t
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import cut, whole_text
+from parcelscope.llm.common import cut, fresh, release, whole_text
 from parcelscope.llm.components import components
 
 CELL = 16
@@ -127,9 +129,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bits: int = BITS) -> Dat
 
 #: A size class has up to this many views, of samples of about 128 to 256 shingles.
 VIEWS, SAMPLE_BITS = 16, 7
-#: Rounds of hubs, hubs of a list and round, and members of a list whose pairs are listed without a filter.
-HUB_ROUNDS, HUBS, FEW = 2, 2, 16
-SLOTS = 1 << 18
+#: Rounds of hubs at most, and hubs of a list and round.
+HUB_ROUNDS, HUBS = 6, 2
+#: A list of up to this many texts gives all its pairs.
+FEW = 4
 
 
 def partial_prints(h: np.ndarray) -> list[tuple[int, int, int]]:
@@ -152,10 +155,10 @@ def partial_prints(h: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """Rows with whole and partial fingerprints, all different shingle hashes (ascending) and their hash ``id``."""
+    """Rows with whole and partial fingerprints, the number of different shingles and a hash ``id`` of their set."""
     text = whole_text(docs)
     kind = text.schema["doc_id"].dataType.simpleString()
-    part = pa.list_(pa.struct([("c", pa.int32()), ("j", pa.int32()), ("f", pa.int64())]))
+    part = pa.list_(pa.int64())
 
     def mapped(batches):
         import zlib
@@ -163,7 +166,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            crc, fp, ids, n, every, parts = [], [], [], [], [], []
+            crc, fp, ids, n, parts = [], [], [], [], []
             for t in batch.column("text"):
                 raw = t.as_py().encode()
                 h = hashes(shingles(raw, width))
@@ -172,47 +175,48 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 h = np.unique(h)
                 n.append(len(h))
                 ids.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), 42)))
-                every.append(h.view(np.int64))
-                parts.append([{"c": c, "j": j, "f": _signed(f)} for c, j, f in partial_prints(h)])
+                parts.append([_signed(xxhash.xxh64_intdigest(np.array([c, j, f], dtype=np.uint64).tobytes(), 42)) for c, j, f in partial_prints(h)])
             prints = np.array(fp, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(crc, pa.int64()), pa.array(prints.view(np.int64)), pa.array(grid_point(prints)), pa.array(ids, pa.int64()),
-                 pa.array(n, pa.int64()), pa.array(every, pa.list_(pa.int64())), pa.array(parts, part)],
-                ["doc_id", "crc", "fp", "point", "id", "n", "hashes", "parts"])
+                 pa.array(n, pa.int64()), pa.array(parts, part)],
+                ["doc_id", "crc", "fp", "point", "id", "n", "parts"])
 
-    return text.mapInArrow(mapped, f"doc_id {kind}, crc long, fp long, point long, id long, n long, hashes array<long>, parts array<struct<c:int,j:int,f:long>>")
+    return text.mapInArrow(mapped, f"doc_id {kind}, crc long, fp long, point long, id long, n long, parts array<long>")
 
 
 def _lists(rows: DataFrame, bits: int) -> DataFrame:
     """``view, id, n``: texts that may be near copies share a view; views of the same texts are listed once."""
     texts = rows.groupBy("id").agg(F.min("n").alias("n"), F.min("parts").alias("parts"))
-    agree = texts.select("id", "n", F.explode("parts").alias("p")).select(F.xxhash64("p.c", "p.j", "p.f").alias("view"), "id", "n")
+    agree = texts.select("id", "n", F.explode("parts").alias("view"))
     whole = cut(rows.select("fp", "point", "id", "n").distinct(), "copies_prints")
-    same = whole.select(F.xxhash64(F.lit("whole"), "fp").alias("view"), "id", "n")
-    # fingerprints that have another one within ``bits``: two are that near if and only if they share a word within one bit of both
-    prints = whole.groupBy("fp", "point").agg(F.min("id").alias("name"))
-    near = links(prints.withColumnRenamed("name", "id"), bits)
-    near = near.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(prints, "name").select("fp")
-    flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))]
-    words = whole.join(near, "fp").select(F.explode(F.array(*flips)).alias("word"), "id", "n").select(F.xxhash64(F.lit("word"), "word").alias("view"), "id", "n")
-    every = agree.unionByName(same).unionByName(words)
+    # whole fingerprints that a chain of links within ``bits`` connects are one list
+    prints = cut(whole.groupBy("fp", "point").agg(F.min("id").alias("id")), "copies_points")
+    chains = components(links(prints, bits)).select(F.col("id").alias("name"), "component")
+    named = prints.select("fp", F.col("id").alias("name")).join(chains, "name", "left").select("fp", F.xxhash64(F.lit("whole"), F.coalesce("component", "name")).alias("view"))
+    every = agree.unionByName(whole.join(named, "fp").select("id", "n", "view"))
     sizes = every.groupBy("view").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("low < high")
     once = sizes.groupBy("m", "low", "high", "sum").agg(F.min("view").alias("view")).select("view", "m")
     met = cut(every.join(once, "view").distinct(), "copies_met")
     # a text that others differ from in single places shares more views than they do
     weight = met.groupBy("id").agg(F.sum("m").alias("central"))
-    return cut(met.join(weight, "id").select("view", "id", "n", "central"), "copies_lists")
+    listed = cut(met.join(weight, "id").select("view", "id", "n", "central"), "copies_lists")
+    release(whole, prints, met)
+    return listed
+
 
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``id, hashes`` (all different shingle hashes, ascending) of the wanted texts, once per text, hashed again from one document of each."""
+    first = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "crc")).alias("k")).select("id", F.col("k.doc_id").alias("named"), F.col("k.crc").alias("sum"))
+    text = whole_text(docs).withColumn("crc", F.crc32("text"))
+    met = text.join(first, (text["crc"] == first["sum"]) & text["doc_id"].eqNullSafe(first["named"])).select("id", "text")
+
+    def hashed(batches):
+        for batch in batches:
+            every = [np.unique(hashes(shingles(t.as_py().encode(), width))).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(every, pa.list_(pa.int64()))], ["id", "hashes"])
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, hashes`` of the wanted texts, once per text."""
-    # one byte per slot of the id, set where a wanted one lies: at most SLOTS numbers reach the driver, and shingles of most other texts are not moved
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int")
-    mask = bytearray(SLOTS)
-    for r in wanted.select(slot.alias("slot")).distinct().collect():
-        mask[r["slot"]] = 1
-    maybe = rows.select("id", "hashes").filter(F.substring(F.lit(bytes(mask)), slot + 1, F.lit(1)) == F.lit(b"\x01"))
-    return maybe.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    return met.mapInArrow(hashed, "id long, hashes array<long>").dropDuplicates(["id"])
 
 
 def _open(lists: DataFrame, found: DataFrame) -> DataFrame:
@@ -242,26 +246,53 @@ def _sized(met: DataFrame, other: str, n: str, component: str, similar: float) -
 
 
 def _rest_pairs(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """All pairs of two components within a list that can reach the similarity.
-
-    Lists of a few texts give their pairs. In longer ones, a pair that is similar shares a shingle among the first ``n - similar * n + 1`` of both
-    in any one order of shingles; the order is by how many of the list have them, so that what a list has in common pairs nobody.
+    """All pairs of two components within a list that can reach the similarity; see ``_apart``. Lists of a few texts give their pairs."""
+    few = held.filter(F.col("m") <= FEW)
+    other = few.select("view", F.col("id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
+    near = (F.col("id") < F.col("o")) & (F.col("component") != F.col("oc")) & (F.least("n", "on") >= similar * F.greatest("n", "on"))
+    pairs = few.join(other, "view").filter(near).select(F.col("id").alias("a"), F.col("o").alias("b"))
+    return pairs.unionByName(_apart(held.filter(F.col("m") > FEW), sets, similar)).distinct()
+
+
+def _apart(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs of long lists, by how texts differ from what most of their list holds.
+
+    Let C be the shingles that more than half of a list's texts have, and D(a) those in which text a and C differ. Texts a and b differ in
+    |D(a)| + |D(b)| - 2 |D(a) and D(b)| shingles, and are similar where that is at most t (n(a) + n(b)) with t = (1 - similar) / (1 + similar). With
+    e = |D| - t n, a pair with e(a) + e(b) <= 0 is similar whatever D has in common, and each text of such a pair is similar to the list's text of
+    least e as well: one pair a text links them all. Any other pair needs a common part of (e(a) + e(b)) / 2 or more, so it shares one of the first
+    |D| - (e + least e) / 2 + 1 of both in one order: what one text has or lacks alone comes first and pairs nobody.
+    Texts that share a frame and differ elsewhere by too much therefore make no pairs at all.
     """
-    columns = ("view", "id", "n", "component")
-    other = lambda x, *on: x.select(*on, F.col("id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
-    few = held.filter(F.col("m") <= FEW).select(*columns)
-    pairs = few.join(other(few, "view"), "view").filter("id < o")
-    many = held.filter(F.col("m") > FEW).select(*columns)
-    listed = many.select("view", "id").join(sets, "id").select("view", "id", F.explode("hashes").alias("h"))
-    often = listed.groupBy("view", "h").agg(F.count("*").alias("often")).filter("often > 1")
-    # a shingle that only one text of the list has comes first and pairs nobody: only its number counts
-    shared = listed.join(often, ["view", "h"]).groupBy("view", "id").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("shared")).join(many, ["view", "id"])
-    take = F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    prefix = shared.withColumn("take", take.cast("int")).filter("take > 0").select(*columns, F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("x")).select(*columns, F.col("x.h").alias("h"))
-    prefix = cut(prefix, "copies_prefixes")
-    kept = prefix.join(prefix.groupBy("view", "h").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u <> v").select("view", "h"), ["view", "h"])
-    long = kept.join(other(kept, "view", "h"), ["view", "h"]).filter("id < o").drop("h")
-    return _sized(pairs.unionByName(long), "o", "on", "oc", similar)
+    t = (1 - similar) / (1 + similar)
+    listed = held.select("view", "id").join(sets, "id").select("view", "id", F.explode("hashes").alias("h"))
+    size = held.groupBy("view").agg(F.first("m").alias("m"))
+    often = listed.groupBy("view", "h").agg(F.count("*").alias("k")).filter("k > 1").join(size, "view").withColumn("inside", F.col("k") * 2 > F.col("m"))
+    core = often.filter("inside").groupBy("view").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("m") - F.col("k")).alias("k"), "h"))), lambda x: x["h"]).alias("core"),
+                                                      F.collect_list(F.when(F.col("m") - F.col("k") == 1, F.col("h"))).alias("lone"))
+    # of each text the shingles that others of the list have too: those outside of C by how many have them; those of C, of which it lacks some
+    shared = listed.join(often, ["view", "h"]).groupBy("view", "id").agg(F.array_sort(F.collect_list(F.when(~F.col("inside"), F.struct("k", "h")))).alias("extra"), F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("have"))
+    texts = held.select("view", "id", "n", "component").join(shared, ["view", "id"], "left").join(core, "view", "left")
+    none = F.array().cast("array<bigint>")
+    lack = F.array_except(F.coalesce("core", none), F.coalesce("have", none))
+    texts = texts.withColumns({"extra": F.coalesce(F.transform("extra", lambda x: x["h"]), none), "lack": lack, "more": F.array_except(lack, F.coalesce("lone", none)), "have": F.size(F.coalesce("have", none))})
+    texts = texts.withColumn("d", F.col("n") - F.col("have") + F.size("lack")).withColumn("e", F.col("d") - F.lit(t) * F.col("n"))
+    # the order: what one text has or lacks alone, then what several have, then what several lack, each by how many
+    texts = cut(texts.select("view", "id", "n", "component", "d", "e", F.concat("extra", "more").alias("some")), "copies_apart")
+    least = texts.groupBy("view").agg(F.min(F.struct("e", "id", "n", "component")).alias("low"))
+    met = texts.join(least, "view")
+    star = met.filter((F.col("e") + F.col("low.e") <= 1e-9) & (F.col("component") != F.col("low.component"))).select(F.least("id", "low.id").alias("a"), F.greatest("id", "low.id").alias("b"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("low.e")) / 2 - 1e-9))
+    take = F.col("d") - need + 1 - (F.col("d") - F.size("some"))
+    first = met.withColumn("take", take.cast("int")).filter((F.col("take") > 0) & (2 * F.size("some") - F.col("e") >= F.col("low.e") - 1e-9)).select("view", "id", "n", "component", "e", F.size("some").alias("s"), F.explode(F.slice("some", F.lit(1), F.col("take"))).alias("h"))
+    first = cut(first, "copies_prefixes")
+    mixed = first.groupBy("view", "h").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u <> v").select("view", "h")
+    kept = first.join(mixed, ["view", "h"])
+    other = kept.select("view", "h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("e").alias("oe"), F.col("s").alias("os"), F.col("component").alias("oc"))
+    # what both have in common is at most what either has in common with anybody
+    may = (F.col("id") < F.col("o")) & (F.col("component") != F.col("oc")) & (F.least("n", "on") >= similar * F.greatest("n", "on")) & (F.col("e") + F.col("oe") > 1e-9)
+    may &= F.col("e") + F.col("oe") <= 2 * F.least("s", "os") + 1e-9
+    return star.unionByName(kept.join(other, ["view", "h"]).filter(may).select(F.col("id").alias("a"), F.col("o").alias("b")))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -276,33 +307,42 @@ def near_copies(docs: DataFrame, *, width: int = 5, similar: float = 0.8, bits:
     """``doc_id, crc, group`` of every row: groups of texts linked by a similarity of at least ``similar``.
 
     Candidates are texts with whole fingerprints within ``bits`` and texts that agree on a partial one; each such set of texts is a list. Members are first compared
-    with a few central ones of their list, in rounds; then every pair of a list that is still in two components is compared, except those that sizes or prefixes of
-    shingles prove to be below the similarity. The comparison is exact, on all shingles of both. Texts of equal shingles are compared once.
+    with a few central ones of their list, in rounds; then every pair of an open list that is still in two components is compared, except those that
+    sizes or the shingles in which they differ from their list prove to be below the similarity. The comparison is exact, on all shingles of both. Texts of equal shingles are compared once.
+    Shingles are stored for listed texts alone; everything stored is deleted once the groups are written.
     """
     rows = cut(described(docs, width), "copies_rows")
     lists = _lists(rows, bits)
-    sets = cut(_sets(rows, lists.select("id").distinct()), "copies_sets")
-    linked = lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    found = lists.select("id", F.col("id").alias("component")).limit(0)
-    for step in range(HUB_ROUNDS + 1):
+    sets = cut(_sets(docs, rows, lists.select("id").distinct(), width), "copies_sets")
+    links_found, found, hubs = [], lists.select("id", F.col("id").alias("component")).limit(0), HUB_ROUNDS
+    while True:
         held = cut(_open(lists, found), "copies_open")
-        if held.isEmpty():
-            break
-        pairs = _hub_pairs(held, similar) if step < HUB_ROUNDS else _rest_pairs(held, sets, similar)
+        pairs = _hub_pairs(held, similar) if hubs else _rest_pairs(held, sets, similar)
         new = cut(_similar(pairs, sets, similar), "copies_links")
-        if new.isEmpty():
-            continue
-        linked = linked.unionByName(new)
-        found = cut(components(linked), "copies_components")
+        none = new.isEmpty()
+        if none:
+            release(new)
+        else:
+            links_found.append(new)
+            last, found = found, cut(components(reduce(DataFrame.unionByName, links_found)), "copies_components")
+            release(last)
+        release(held)
+        if not hubs:
+            break
+        # hubs are chosen anew as long as they find links
+        hubs = 0 if none else hubs - 1
     grouped = found.select("id", F.col("component").alias("group"))
-    return rows.select("doc_id", "crc", "id").join(grouped, "id", "left").select("doc_id", "crc", F.coalesce("group", "id").alias("group"))
+    out = cut(rows.select("doc_id", "crc", "id").join(grouped, "id", "left").select("doc_id", "crc", F.coalesce("group", "id").alias("group")), "copies_groups")
+    release(rows, lists, sets, found, *links_found)
+    return out
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group, the one with the least id; rows that repeat it go too."""
-    groups = cut(near_copies(docs, **options), "copies_groups")
+    groups = near_copies(docs, **options)
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("k"))
     stay = first.select(F.col("k.doc_id").alias("doc_id"), F.col("k.crc").alias("crc"))
-    named = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit(""))))
-    kept = named.join(stay, named["doc_id"].eqNullSafe(stay["doc_id"]) & (named["__crc"] == stay["crc"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__crc"]).select(*docs.columns)
+    sum_ = fresh(docs, "text_crc")
+    named = docs.withColumn(sum_, F.crc32(F.coalesce("text", F.lit(""))))
+    kept = named.join(stay, named["doc_id"].eqNullSafe(stay["doc_id"]) & (named[sum_] == stay["crc"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", sum_]).select(*docs.columns)
