@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from parcelscope.functions.columns import n_if, rnd
 from parcelscope.operators import freight as fr
-from parcelscope.operators import geo, gold, models, ranks
+from parcelscope.operators import drift_lattice, geo, gold, models, ranks
 from parcelscope.operators import statistics as st
 from parcelscope.operators.checks import union
 from parcelscope.plans.freight_and_friction import _bin_sql, burden_frame, friction_z
@@ -238,6 +238,34 @@ def _(t):
     return out.withColumns({k: rnd(k, 5) for k in ("wasserstein", "wasserstein_iqr")})
 
 
+# fixed values: support limits of the published monthly diagnostic
+_SUPPORT = (1000, 200)
+_MONTHLY = f"""with v as ({" union all ".join(f"select '{k}' variable, year_month m, round({k}::double, 6) v from o_frame where {k} is not null and year_month is not null" for k in _DV)}),
+ f as (select variable, m, count(*) n_current from v group by 1, 2),
+ x as (select variable, m, v, 1 cur from v union all select v.variable, f.m, v, 0 from v join f on v.variable = f.variable and v.m < f.m),
+ h as (select variable, m, count(*) n_earlier, list_sort(list_distinct([{', '.join(f'round(quantile_cont(v, {i / 10}), 8)' for i in range(11))}])) ed, quantile_cont(v, .75) - quantile_cont(v, .25) iqr, quantile_cont(v, .5) med from x where cur = 0 group by 1, 2),
+ o as (select variable, m, quantile_cont(v, .5) own from x where cur = 1 group by 1, 2),
+ g as (select variable, m, v, count(*) filter (cur = 1) c, count(*) filter (cur = 0) r from x group by 1, 2, 3),
+ u as (select variable, m, v, sum(c) over w / sum(c) over t fc, sum(r) over w / sum(r) over t fr, lead(v) over (partition by variable, m order by v) nv from g
+  window w as (partition by variable, m order by v), t as (partition by variable, m)),
+ d as (select variable, m, max(abs(fc - fr)) ks, sum(abs(fc - fr) * (nv - v)) wd from u group by 1, 2),
+ b as (select x.variable, x.m, least(greatest(len(list_filter(ed, lambda e: e < v)) - 1, 0), greatest(len(ed) - 2, 0)) bin, sum(cur)::double c, sum(1 - cur)::double r from x join h on x.variable = h.variable and x.m = h.m group by 1, 2, 3),
+ p as (select variable, m, greatest(c / sum(c) over t, 1e-6) p, greatest(r / sum(r) over t, 1e-6) q from b window t as (partition by variable, m)),
+ s as (select variable, m, sum((p - q) * ln(p / q)) psi, sum(p * log2(p / ((p + q) / 2)) + q * log2(q / ((p + q) / 2))) / 2 js from p group by 1, 2),
+ y as (select year_month m, sum(late)::double y, count(late)::double n from o_frame where year_month is not null group by 1),
+ l as (select m, 100 * (y / n - sum(y) over w / sum(n) over w) target from y window w as (order by m rows between unbounded preceding and 1 preceding))
+select d.variable, d.m year_month, n_current, n_earlier, round(ks, 6) ks, round(psi, 6) psi, round(sqrt(greatest(js, 0)), 5) js_distance, round(wd, 5) wasserstein, round(wd / nullif(iqr, 0), 5) wasserstein_iqr,
+ round((own - med) / nullif(iqr, 0), 6) median_shift, round(target, 6) target_delta_pp, n_earlier >= {_SUPPORT[0]} and n_current >= {_SUPPORT[1]} supported
+from d join h using (variable, m) join o using (variable, m) join s using (variable, m) join f using (variable, m) join l on l.m = d.m"""
+
+
+@query("j21_monthly_drift", _MONTHLY)
+def _(t):
+    # six decimals: sums that differ in their last bit are one value
+    d = frame(t).withColumns({k: rnd(F.col(k).cast("double"), 6) for k in _DV})
+    return drift_lattice.period_drift(d, "year_month", _DV, "late", least_earlier=_SUPPORT[0], least_own=_SUPPORT[1])
+
+
 @query("j22_marginal_grid")
 def _(t):
     d, knots = _curved(t)
