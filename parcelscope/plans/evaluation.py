@@ -451,8 +451,7 @@ def _(t):
 _SIZES = [0, 1, 2, 3, 4, 5, 6, 10, 15, 20, 23, 25, 27, 30]
 
 
-@query("k31_supervised_k_grid")
-def _(t):
+def _component_fits(t):
     """Core features plus 2k component scores for each k; bases and fits of a month come from its training rows."""
     def build():
         d = model_frame(t).select("order_id", "month", "usable", F.col("late").cast("double").alias("y"), *_CORE)
@@ -462,7 +461,33 @@ def _(t):
         return d.select("order_id", "month", "usable", "y", values.alias("values"))
     d = t.stage("component_rows", build)
     coefs, converged, _scales = component_grid.fit_grid(d, _months(d)[3:], len(_CORE), 30, _SIZES)
+    return d, coefs, converged
+
+
+@query("k31_supervised_k_grid")
+def _(t):
+    d, coefs, converged = _component_fits(t)
     m = ev.all_metrics(component_grid.score_grid(d, coefs, _SIZES), ["k", "month"])
     g = m.groupBy("k").agg(F.count(F.lit(1)).alias("folds"), rnd(F.avg("ap")).alias("mean_ap"), rnd(F.avg("auc")).alias("mean_auc"), rnd(F.avg("brier")).alias("mean_brier"), rnd(F.avg("log_loss")).alias("mean_log_loss"))
     counts = t.spark.createDataFrame([(k, sum(ok for (_f, size), ok in converged.items() if size == k)) for k in _SIZES], "k int, converged_folds int")
     return g.join(counts, "k")
+
+
+@query("k12_joint_band_over_k")
+def _(t):
+    """Every number of components against none: bands over the 13 alternatives of each metric, for each block length."""
+    def build():
+        d, coefs, _ = _component_fits(t)
+        return ev.all_metrics(component_grid.score_grid(d, coefs, _SIZES), ["k", "month"])
+    m = t.stage("component_metrics", build)
+    measures = {"ap": 1, "auc": 1, "brier": -1, "log_loss": -1}
+    rows = m.na.drop(subset=list(measures)).select("k", "month", *measures).collect()  # months times 14 numbers of components
+    by = {(r["k"], r["month"]): r for r in rows}
+    months = sorted(x for x in {r["month"] for r in rows} if all((k, x) in by for k in _SIZES))
+    families = {f: {f"k={k}": [sign * (by[k, x][f] - by[0, x][f]) for x in months] for k in _SIZES[1:]} for f, sign in measures.items()}
+    return union([inf.joint_bands(t.spark, families, block=b).withColumn("block", F.lit(b)) for b in (2, 3, 4)])
+
+
+@query("k15_wilcoxon_exact")
+def _(t):
+    return inf.wilcoxon_exact(deltas(t).select("month", rnd("delta").alias("delta")))
