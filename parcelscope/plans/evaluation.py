@@ -167,7 +167,10 @@ def _(t):
 
 
 def _named(t):
-    return {m: inf.series(deltas(t, m, h)) for m, h in (("ap", True), ("auc", True), ("brier", False), ("log_loss", False))}
+    """Monthly deltas of every metric over the months that have them all, so that one draw of months fits all series."""
+    by = {m: {r["month"]: float(r["delta"]) for r in deltas(t, m, h).na.drop(subset=["delta"]).collect()} for m, h in (("ap", True), ("auc", True), ("brier", False), ("log_loss", False))}
+    months = sorted(set.intersection(*map(set, by.values())))
+    return {m: [d[x] for x in months] for m, d in by.items()}
 
 
 @query("k10_bootstrap_interval")
