@@ -120,6 +120,43 @@ def oriented_deltas(metrics: DataFrame, base: str, other: str, metric: str, high
     return a.join(b, "month").select("month", ((F.col("_b") - F.col("_a")) * (1 if higher_better else -1)).alias("delta")).filter("delta is not null")
 
 
+def rank_algorithms(metrics: DataFrame) -> DataFrame:
+    """Means over the folds with both classes, best first; ``complete`` tells whether a model was scored in every such fold of any model."""
+    known = metrics.filter(F.col("ap").isNotNull())
+    every = known.agg(F.countDistinct("month").alias("folds_expected"))
+    g = known.groupBy("model").agg(F.count(F.lit(1)).alias("folds"), *[rnd(F.avg(k)).alias(f"mean_{k}") for k in ("ap", "auc", "brier", "log_loss")])
+    g = ranks.attach(g, every, [])
+    return g.withColumn("complete", F.col("folds") == F.col("folds_expected")).orderBy(F.desc("complete"), F.desc("mean_ap"), F.desc("mean_auc"), "mean_brier", "model")
+
+
+def arm_deltas(metrics: DataFrame, spark, base: str = "M0", other: str = "M1", reps: int = 20_000, seed: int = 7) -> DataFrame:
+    """Per algorithm (models are named algorithm_arm): monthly differences of the arms, paired bootstrap of the mean AP difference and its class.
+
+    Only months in which both arms have an average precision count; ``unpaired`` gives the others. An algorithm without a paired month has no row.
+    """
+    from parcelscope.operators.inference import bootstrap_interval
+    name = F.col("model")
+    arms = F.regexp_extract(name, "_([^_]+)$", 1)
+    d = metrics.select(F.regexp_extract(name, "^(.*)_[^_]+$", 1).alias("algorithm"), arms.alias("arm"), "month", "ap", "auc", "brier", "log_loss").filter(F.col("ap").isNotNull())
+    g = d.groupBy("algorithm", "month").agg(*[(F.max(F.when(F.col("arm") == other, F.col(k))) - F.max(F.when(F.col("arm") == base, F.col(k)))).alias(k) for k in ("ap", "auc", "brier", "log_loss")])
+    both = F.col("ap").isNotNull()
+    rows = g.groupBy("algorithm").agg(F.count("ap").alias("folds"), F.count(F.when(~both, 1)).alias("unpaired"), rnd(F.median("ap")).alias("median_delta_ap"),
+                                      *[rnd(F.avg(k)).alias(f"mean_delta_{k}") for k in ("auc", "brier", "log_loss")],
+                                      F.count(F.when(F.col("ap") > 0, 1)).alias("wins"), F.count(F.when(F.col("ap") == 0, 1)).alias("ties"), F.count(F.when(F.col("ap") < 0, 1)).alias("losses"))
+    # one number a month and algorithm
+    deltas: dict[str, list[float]] = {}
+    for r in g.filter(both).select("algorithm", "month", "ap").orderBy("algorithm", "month").collect():
+        deltas.setdefault(r["algorithm"], []).append(float(r["ap"]))
+    if not deltas:
+        return rows.filter("false").select("*", *[F.lit(None).cast("double").alias(k) for k in ("mean_delta_ap", "ci_low", "ci_high")], F.lit(None).cast("string").alias("status"))
+    from parcelscope.operators.checks import union
+    b = union([bootstrap_interval(spark, {a: v}, reps, seed) for a, v in deltas.items()])
+    status = (F.when((F.col("mean_delta_ap") > 0) & (F.col("ci_low") > 0), f"{other}_SUPPORTED").when(F.col("mean_delta_ap") > 0, f"{other}_FAVORABLE_NOT_DECISIVE")
+              .otherwise(f"{other}_NOT_SUPPORTED"))
+    b = b.select(F.col("series").alias("algorithm"), F.col("mean_delta").alias("mean_delta_ap"), "ci_low", "ci_high")
+    return rows.join(b, "algorithm").withColumn("status", status)
+
+
 def win_table(deltas: DataFrame, tol: float = 1e-12) -> DataFrame:
     d = F.col("delta")
     return deltas.agg(F.count(F.lit(1)).alias("months"), F.count(F.when(d > tol, 1)).alias("wins"), F.count(F.when(F.abs(d) <= tol, 1)).alias("ties"),

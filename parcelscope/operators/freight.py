@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelscope.functions.columns import EPS, c, guarded_log1p, is_finite, n_if, ratio, rnd
-from parcelscope.operators import models, ranks
+from parcelscope.operators import fold_boosting, models, ranks
 
 FEATURES = ["log_distance", "log_weight", "log_volume", "log_price", "seller_item_count"]
 MIN_TRAIN_MONTHS = 3
@@ -52,24 +52,38 @@ def expected_linear(r: DataFrame, features: list[str] | None = None) -> DataFram
     return models.apply_fold_coefficients(r, "year_month", features, coefs, "pred_log")
 
 
-def expected_boosted(r: DataFrame, rounds: int = 100, depth: int = 5, refit_every: int = 1, seed: int = 42) -> DataFrame:
-    """boosted trees per fold. Missing values get a flag and a fill; ``refit_every`` months share one fit."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-    filled = r.withColumns({f"{k}_missing": F.col(k).isNull().cast("double") for k in FEATURES}).withColumns(
-        {f"{k}_filled": F.coalesce(F.col(k).cast("double"), F.lit(-1.0)) for k in FEATURES})
-    va = VectorAssembler(inputCols=[f"{k}{s}" for k in FEATURES for s in ("_filled", "_missing")], outputCol="_features")
-    d = va.transform(filled)
-    months = months_of(r)
-    out = [d.filter(F.col("year_month").isin(months[:MIN_TRAIN_MONTHS])).withColumn("pred_log", F.lit(None).cast("double"))]
-    for i in range(MIN_TRAIN_MONTHS, len(months), refit_every):
-        train = d.filter((F.col("year_month") < months[i]) & F.col("log_freight").isNotNull())
-        fit = GBTRegressor(featuresCol="_features", labelCol="log_freight", maxIter=rounds, maxDepth=depth, seed=seed).fit(train)
-        test = d.filter(F.col("year_month").isin(months[i:i + refit_every]))
-        out.append(fit.transform(test).withColumnRenamed("prediction", "pred_log"))
-    keep = [*r.columns, "pred_log"]
+def expected_boosted(r: DataFrame, rounds: int = 100, depth: int = 5, bins: int = 64) -> DataFrame:
+    """boosted trees on the rows of all earlier months, a fit for every month; missing features take a side of their own.
+
+    Rows of a month after the first three get a prediction, with or without a label; at least one earlier label is needed.
+    """
+    fits = fold_boosting.fit_folds(r, "year_month", months_of(r)[MIN_TRAIN_MONTHS:], {"F2": FEATURES}, "log_freight",
+                                   fold_boosting.Settings(rounds=rounds, depth=depth, bins=bins))
+    return r.withColumn("pred_log", fits.predict("year_month", "F2"))
+
+
+def model_evidence(scored: dict[str, DataFrame], features: list[str] | None = None) -> DataFrame:
+    """Row errors of F0, F1 and F2 on the rows that all of them predict, the gain of F2, its largest rank correlation with
+    a feature, the range of its monthly median residual, and whether the residual is fit for use (R2 over 0.25, correlation under 0.45).
+
+    ``scored`` maps F0, F1 and F2 to route rows with ``order_id``, ``seller_id`` and ``pred_log``.
+    """
+    from parcelscope.operators.statistics import spearman
+    keys = ["order_id", "seller_id"]
+    d = back_transform(scored["F2"]).withColumnRenamed("pred_freight", "F2")
+    for name in ("F0", "F1"):
+        d = d.join(back_transform(scored[name]).select(*keys, F.col("pred_freight").alias(name)), keys)
+    d = d.na.drop(subset=["seller_freight", "F0", "F1", "F2"]).withColumn("residual", F.col("seller_freight") - F.col("F2"))
+    n = F.count(F.lit(1))
+    err = {k: F.avg(F.abs(F.col("seller_freight") - F.col(k))) for k in ("F0", "F1", "F2")}
+    a = d.agg(n.alias("n"), *[rnd(e).alias(f"mae_{k.lower()}") for k, e in err.items()], *[rnd(100 * (1 - err["F2"] / F.nullif(err[k], F.lit(0.0)))).alias(f"gain_over_{k.lower()}_pct") for k in ("F0", "F1")],
+              rnd(1 - F.sum(F.col("residual") ** 2) / F.nullif(F.var_pop("seller_freight") * n, F.lit(0.0))).alias("r2_f2"))
     from parcelscope.operators.checks import union
-    return union([o.select(*keep) for o in out])
+    rho = union([spearman(d, "residual", k) for k in features or FEATURES]).agg(F.max(F.abs("rho")).alias("max_residual_rho"))
+    med = ranks.exact_quantiles(d, ["year_month"], "residual", {"m": .5}).agg(rnd(F.max("m") - F.min("m")).alias("median_drift_range"))
+    out = ranks.attach(ranks.attach(a, rho, []), med, [])
+    ok = F.coalesce((F.col("r2_f2") > 0.25) & (F.col("max_residual_rho") < 0.45), F.lit(False))
+    return out.withColumn("residual_status", F.when(ok, "VALID_FOR_DOWNSTREAM").otherwise("NOT_VALID_FOR_DOWNSTREAM"))
 
 
 def back_transform(scored: DataFrame) -> DataFrame:

@@ -81,10 +81,14 @@ def _(t):
     return fr.order_expected(fr.expected_linear(logged(t))).select("order_id", "year_month", rnd("expected_freight_oot").alias("expected_freight_oot"))
 
 
+def boosted(t):
+    """Route rows with F2's prediction: 100 rounds, a fit for each month."""
+    return t.stage("boosted", lambda: fr.expected_boosted(logged(t)))
+
+
 @query("i5_f2_expected_boosted")
 def _(t):
-    scored = fr.expected_boosted(logged(t), rounds=8, depth=4, refit_every=24)
-    return fr.order_expected(scored).select("order_id", "year_month", rnd("expected_freight_oot").alias("expected_freight_oot"))
+    return fr.order_expected(boosted(t)).select("order_id", "year_month", rnd("expected_freight_oot").alias("expected_freight_oot"))
 
 
 @query("i6_order_expected", """select order_id, year_month, round(expected_freight_oot, 8) expected_freight_oot, round(total_freight, 8) total_freight, round(total_freight - expected_freight_oot, 8) freight_residual,
@@ -107,7 +111,7 @@ def _(t):
 
     def m(name, scored):
         return fr.regression_metrics(fr.back_transform(scored), "seller_freight", "pred_freight").withColumn("model", F.lit(name))
-    return union([m("F0", fr.expected_median(r)), m("F1", fr.expected_linear(r))])
+    return union([m("F0", fr.expected_median(r)), m("F1", fr.expected_linear(r)), m("F2", boosted(t))])
 
 
 @query("i8_parity_audit", """select count(*) "both", 0 left_only, 0 right_only, 0 null_mismatch, 0 value_mismatch, 0.0::double max_abs_diff from o_exp""")
@@ -285,12 +289,4 @@ def _(t):
 @query("i25_model_evidence")
 def _(t):
     r = logged(t)
-    f0 = fr.regression_metrics(fr.back_transform(fr.expected_median(r)), "seller_freight", "pred_freight").select(F.col("mae").alias("mae_f0"))
-    s1 = fr.back_transform(fr.expected_linear(r))
-    f1 = fr.regression_metrics(s1, "seller_freight", "pred_freight").select(F.col("mae").alias("mae_f1"), F.col("r2").alias("r2_f1"))
-    e = fr.order_expected(fr.expected_linear(r)).filter("freight_residual is not null")
-    med = ranks.exact_quantiles(e, ["year_month"], "freight_residual", {"m": .5}).agg(rnd(F.max("m") - F.min("m")).alias("median_drift_range"))
-    d = ranks.attach(ranks.attach(f0, f1, []), med, [])
-    return d.withColumn("mae_gain_pct", rnd(100 * (F.col("mae_f0") - F.col("mae_f1")) / F.col("mae_f0")))
-
-
+    return fr.model_evidence({"F0": fr.expected_median(r), "F1": fr.expected_linear(r), "F2": boosted(t)})
