@@ -60,16 +60,24 @@ def recall_at(df: DataFrame, keys: list[str], fractions: list[float], row_id: st
     return out.select(*by, "k", "hits", rnd(ratio("hits", "positives")).alias("recall"))
 
 
-def calibration_bins(df: DataFrame, keys: list[str], bins: int = 10, y: str = "y", score: str = "score") -> DataFrame:
-    """Quantile bins of the score with mean prediction and observed rate (unrounded)."""
-    d = ranks.qcut(df, score, bins, keys)
+def calibration_bins(df: DataFrame, keys: list[str], bins: int = 10, y: str = "y", score: str = "score", digits: int | None = None) -> DataFrame:
+    """Quantile bins of the score with mean prediction and observed rate (unrounded).
+
+    With ``digits``, scores are held against edges to so many decimals: small groups have many rows on an edge, which the last
+    bit of an interpolated edge would deal to either bin.
+    """
+    if digits is None:
+        d = ranks.qcut(df, score, bins, keys)
+    else:
+        edges = ranks.quantile_edges(df, keys, score, bins).withColumn("edges", F.array_distinct(F.transform("edges", lambda e: F.round(e, digits))))
+        d = ranks.attach(df.withColumn("_held", F.round(score, digits)), edges, keys).withColumn("bin", ranks.bin_of("_held", "edges"))
     return d.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(y).alias("observed"))
 
 
-def calibration_error(bins: DataFrame, keys: list[str]) -> DataFrame:
+def calibration_error(bins: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
     """Expected and maximum calibration error."""
     gap = F.abs(F.col("mean_score") - F.col("observed"))
-    return bins.groupBy(*keys).agg(F.sum("n").alias("n"), rnd(F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), rnd(F.max(gap)).alias("mce"))
+    return bins.groupBy(*keys).agg(F.sum("n").alias("n"), rnd(F.sum(F.col("n") * gap) / F.sum("n"), digits).alias("ece"), rnd(F.max(gap), digits).alias("mce"))
 
 
 def brier_decomposition(df: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:

@@ -125,6 +125,14 @@ def parity_audit(left: DataFrame, right: DataFrame, key: str, value: str, atol:
                  n_if(both & (gap > atol + rtol * F.abs(F.col("_b")))).alias("value_mismatch"), F.coalesce(F.round(F.max(gap), 6), F.lit(0.0)).alias("max_abs_diff"))
 
 
+def parity_by_period(left: DataFrame, right: DataFrame, key: str, period: str, value: str) -> DataFrame:
+    """Per period of ``left``: rows, rows that both producers fill, exact median of the differences and the largest one."""
+    j = left.select(key, period, F.col(value).alias("_a")).join(right.select(key, F.col(value).alias("_b")), key, "left").withColumn("_gap", F.col("_a") - F.col("_b"))
+    a = j.groupBy(period).agg(F.count(F.lit(1)).alias("n"), F.count("_gap").alias("n_compared"), rnd(F.max(F.abs("_gap"))).alias("max_abs_diff"))
+    m = ranks.exact_quantiles(j.filter("_gap is not null"), [period], "_gap", {"m": .5}).select(period, (rnd("m") + F.lit(0.0)).alias("median_difference"))
+    return a.join(m, period, "left")
+
+
 def availability(gold_orders: DataFrame, expected: DataFrame, warmup: list[str]) -> DataFrame:
     """Why expected freight is (not) available, and which model serves the order."""
     j = gold_orders.select("order_id").join(expected.select("order_id", "year_month", "expected_freight_oot", F.lit(True).alias("_in")), "order_id", "left")
@@ -217,6 +225,17 @@ def binned_medians(df: DataFrame, by: str, bins: int, values: list[str], digits:
     return a.join(w, "bin")
 
 
+def segment_medians(df: DataFrame, by: list[str], bins: int, value: str, digits: int = 5) -> DataFrame:
+    """Quantile bins of every column of ``by`` in one long form: rows, mean and exact medians per variable and bin."""
+    long = ranks.melt(df, [value], by).filter(F.col("value").isNotNull()).withColumnsRenamed({"value": "_by", value: "_value"})
+    d = ranks.qcut(long, "_by", bins, ["variable"])
+    keys = ["variable", "bin"]
+    a = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("_value"), digits).alias(f"{value}_mean"))
+    m = ranks.exact_quantiles(d.select(*keys, F.inline(F.array(*[F.struct(F.lit(k).alias("_what"), F.col(k).cast("double").alias("_x")) for k in ("_by", "_value")]))).filter("_x is not null"), [*keys, "_what"], "_x", {"m": .5})
+    w = m.groupBy(*keys).agg(*[F.max(F.when(F.col("_what") == k, rnd("m", digits))).alias(name) for k, name in (("_by", "variable_median"), ("_value", f"{value}_median"))])
+    return a.join(w, keys, "left")
+
+
 def scenario_effect(df: DataFrame, fit: models.Fit, alter: dict[str, Column]) -> DataFrame:
     """Change of the predicted share when some design columns are replaced: mean, median, p10, p90."""
     from parcelscope.functions.columns import sigmoid

@@ -255,6 +255,24 @@ def _(t):
     return ev.calibration_error(ev.calibration_bins(scores(t), ["model"]), ["model"])
 
 
+# the same bins within each month: edges are quantiles of the month's scores, 12 decimals keep means over 16 rows from ties
+_CBM = """select model, "month", bin, count(*) n, avg(score) mean_score, avg(y) observed from (
+ select s.*, greatest(len(list_filter(edges, lambda e: e < round(score, 12))) - 1, 0) bin from o_scores s join (
+  select model, "month", list_sort(list_distinct([""" + ", ".join(f"round(quantile_cont(score::double, {i / 10}), 12)" for i in range(11)) + """])) edges from o_scores where score is not null group by 1, 2)
+ using (model, "month") where score is not null) group by 1, 2, 3"""
+
+
+@query("k16_calibration_bins_by_month", f"""select model, "month", bin, n, round(mean_score, 12) mean_score, round(observed, 12) observed from ({_CBM})""")
+def _(t):
+    return ev.calibration_bins(scores(t), ["model", "month"], digits=12).withColumns({k: rnd(k, 12) for k in ("mean_score", "observed")})
+
+
+@query("k16_calibration_error_by_month", f"""select model, "month", cast(sum(n) as bigint) n, round(sum(n * abs(mean_score - observed)) / sum(n), 12) ece, round(max(abs(mean_score - observed)), 12) mce from ({_CBM}) group by 1, 2""")
+def _(t):
+    keys = ["model", "month"]
+    return ev.calibration_error(ev.calibration_bins(scores(t), keys, digits=12), keys, 12)
+
+
 @query("k17_brier_decomposition", f"""select b.model, round(any_value(br), 6) brier, round(sum(n * (mean_score - observed) * (mean_score - observed)) / sum(n), 6) reliability, round(sum(n * (observed - yb) * (observed - yb)) / sum(n), 6) resolution, round(any_value(yb * (1 - yb)), 6) uncertainty,
  round(1 - any_value(br / (yb * (1 - yb))), 6) skill, round(any_value(pb - yb), 6) in_the_large from ({_CB}) b join (select model, avg(y) yb, avg(score) pb, avg((score - y) * (score - y)) br from o_scores group by 1) a on a.model = b.model group by 1""")
 def _(t):

@@ -114,17 +114,28 @@ def _(t):
     return union([m("F0", fr.expected_median(r)), m("F1", fr.expected_linear(r)), m("F2", boosted(t))])
 
 
-@query("i8_parity_audit", """select count(*) "both", 0 left_only, 0 right_only, 0 null_mismatch, 0 value_mismatch, 0.0::double max_abs_diff from o_exp""")
-def _(t):
-    """The expanding median against a second route: monthly value counts copied to their folds."""
+def second_route(t):
+    """The expanding median by another way: monthly value counts copied to their folds."""
     r = logged(t)
     months = fr.months_of(r)
     folds = F.filter(F.array(*[F.lit(m) for m in months[3:]]), lambda m: m > F.col("year_month"))
     counts = ranks.distinct_counts(r, ["year_month"], "log_freight").select("log_freight", "_n", F.explode(folds).alias("fold"))
     counts = counts.groupBy("fold", "log_freight").agg(F.sum("_n").alias("_n"))
     med = ranks.quantiles_of_counts(counts, ["fold"], "log_freight", {"pred_log": .5})
-    second = fr.order_expected(r.join(med.withColumnRenamed("fold", "year_month"), "year_month", "left"))
-    return fr.parity_audit(expected(t), second, "order_id", "expected_freight_oot")
+    return fr.order_expected(r.join(med.withColumnRenamed("fold", "year_month"), "year_month", "left"))
+
+
+@query("i8_parity_audit", """select count(*) "both", 0 left_only, 0 right_only, 0 null_mismatch, 0 value_mismatch, 0.0::double max_abs_diff from o_exp""")
+def _(t):
+    return fr.parity_audit(expected(t), second_route(t), "order_id", "expected_freight_oot")
+
+
+@query("i8_parity_by_month", """select year_month, count(*) n, count(expected_freight_oot) n_compared, case when count(expected_freight_oot) > 0 then 0.0::double end median_difference,
+ case when count(expected_freight_oot) > 0 then 0.0::double end max_abs_diff from o_exp group by 1""")
+def _(t):
+    """Both routes of the expanding median by month, with the median of their signed differences."""
+    left, right = expected(t), second_route(t)
+    return fr.parity_by_period(left, right, "order_id", "year_month", "expected_freight_oot")
 
 
 @query("i9_availability_reason", """select availability_reason, serving_model, count(*) n, round(count(*)::double / (select count(*) from e_orders), 6) share from (
@@ -184,6 +195,18 @@ def _(t):
     return fr.binned_medians(friction(t), "total_price", 4, ["freight_burden"])
 
 
+_ROUTE_SEGMENTS = ["distance_freight_weighted_km", "total_weight_g", "total_volume_cm3"]
+
+
+@query("i14_route_quartile_segments", " union all ".join(
+    f"select '{k}' variable, bin, count(*) n, round(avg(freight_burden), 5) freight_burden_mean, round(median({k}), 5) variable_median, round(median(freight_burden), 5) freight_burden_median "
+    f"from {_bin_sql(k, 4, f'(select freight_burden, {k} from o_fric join o_oroutes using (order_id))')} group by 2" for k in _ROUTE_SEGMENTS))
+def _(t):
+    """Quartiles of distance, weight and volume of the orders with a route."""
+    o = friction(t).select("order_id", "freight_burden").join(geo.order_routes(routes(t)).select("order_id", *_ROUTE_SEGMENTS), "order_id")
+    return fr.segment_medians(o, _ROUTE_SEGMENTS, 4, "freight_burden")
+
+
 @query("i15_route_structure_groups", " union all ".join(f"select '{k}' group_variable, g::int group_level, count(*) n, round(avg(freight_burden), 6) burden_mean, round(median(freight_burden), 6) burden_median from (select cast({e} as int) g, freight_burden from o_fric join o_oroutes using (order_id)) where g is not null group by 2"
                                                         for k, e in [("multi_seller_order", "route_sellers_total > 1"), ("any_interstate_route", "any_interstate_route")]))
 def _(t):

@@ -9,7 +9,7 @@ from parcelscope.functions.columns import rnd
 from parcelscope.operators import cohorts, gold, joins, ranks
 from parcelscope.plans.registry import query
 from parcelscope.session import checkpoint_dir
-from parcelscope.sources import bronze
+from parcelscope.sources import bronze, snapshots
 
 TABLES = ["orders", "items", "customers", "sellers", "products", "payments", "reviews", "geolocation", "translation"]
 
@@ -64,7 +64,7 @@ def _(t):
 
 @query("a4_source_file_hashes")
 def _(t):
-    return bronze.file_hashes(t.spark, t.dir, "*.parquet")
+    return snapshots.file_digests(t.spark, t.dir, "*.parquet")
 
 
 def _scratch(t, name):
@@ -89,6 +89,17 @@ def _(t):
     return t.spark.read.parquet(path).select("order_id", "target_observed", "late_delivery_calendar_day")
 
 
+@query("a5_replace_table", "select order_id, target_observed, late_delivery_calendar_day from o_outcomes")
+def _(t):
+    """The table is replaced by a changed copy of itself; the version before it is read back, and its missing rows are added."""
+    path = _scratch(t, "replaced_outcomes")
+    columns = ["order_id", "target_observed", "late_delivery_calendar_day"]
+    snapshots.replace_table(gold.service_outcomes(t.orders).select(*columns), path)
+    snapshots.replace_table(snapshots.read_table(t.spark, path).filter("target_observed"), path)
+    now, before = (snapshots.read_table(t.spark, path, back=b) for b in (0, 1))
+    return now.unionByName(before.join(now.select("order_id"), "order_id", "left_anti"))
+
+
 @query("a6_numeric_coercion", f"""
 select count(*) n, count(*) filter (nullif(price, '') is not null) n_text, count(try_cast(nullif(price, '') as double)) n_number
 from {_DIRTY}""")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parcelscope.functions.columns import not_blank
+from parcelscope.sources.snapshots import listed_files
 
 # fixed values: column types of the typed entities
 SILVER_TYPES: dict[str, dict[str, str]] = {
@@ -77,17 +78,9 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """File name, size and SHA-256 of the content, one row per file, hashed in the tasks."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"),
-                    F.sha2("content", 256).alias("sha256"))
-
-
 def file_contract(spark: SparkSession, path: str, expected: list[str], pattern: str = "*") -> DataFrame:
     """Expected, missing and extra files of a folder."""
-    have = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-            .select(F.element_at(F.split("path", "/"), -1).alias("file_name")))
+    have = listed_files(spark, path, pattern).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
     want = spark.createDataFrame([(e,) for e in expected], "file_name string")
     from parcelscope.operators.joins import membership_join
     j = membership_join(want, have, ["file_name"])
@@ -96,7 +89,7 @@ def file_contract(spark: SparkSession, path: str, expected: list[str], pattern:
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Replace a table in one commit; CSV gets a header."""
+    """Overwrite a folder (the old files go first; ``snapshots.replace_table`` keeps them until the new ones are whole); CSV gets a header."""
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
