@@ -13,10 +13,13 @@ from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _POINTER = "CURRENT"
 #: Bytes read at a time from a file that is hashed.
 BLOCK = 8 << 20
+#: Schemes that tasks open through Arrow without further set-up.
+STREAMED = ("file", "s3", "s3a", "s3n", "gs", "gcs")
 
 
 class NoTable(FileNotFoundError):
@@ -109,11 +112,24 @@ def listed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return spark.createDataFrame(files, "path string, length long")
 
 
+def whole_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The same for any scheme that Spark reads, each file as one value: for files under 2 GB, Spark's limit."""
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).filter("length > 0")
+    empty = listed_files(spark, path, pattern).filter("length = 0").withColumn("content", F.lit("").cast("binary"))
+    return (read.select("path", "length", "content").unionByName(empty)
+            .select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*", block: int = BLOCK) -> DataFrame:
     """``file_name, bytes, sha256`` of each file, read in blocks by the tasks: memory does not grow with a file.
 
-    Paths are dealt to tasks by Spark and opened by Arrow's file systems: local, HDFS, S3 and GCS (tested on local files).
+    Paths are dealt to tasks by Spark and opened by Arrow's file systems (tested on local files). Files of other schemes are
+    read by ``whole_digests``.
     """
+    if _path(spark, path)[1].getUri().getScheme() not in STREAMED:
+        return whole_digests(spark, path, pattern)
+
     def digests(batches):
         import hashlib
 

@@ -73,11 +73,12 @@ def test_csv_versions_have_headers(spark, tmp_path):
     assert {(r["k"], r["v"]) for r in snapshots.read_table(spark, at, "csv").collect()} == {("1", None), ("2", "a,b")}
 
 
-def test_digests_equal_hashlib_across_blocks(spark, tmp_path):
+@pytest.mark.parametrize("digests", [lambda *a: snapshots.file_digests(*a, block=1000), snapshots.whole_digests])
+def test_digests_equal_hashlib_across_blocks(spark, tmp_path, digests):
     files = {"a.bin": b"", "b b.bin": b"x" * 10_001, "c%20.bin": bytes(range(256)) * 40, "d.txt": b"left out"}
     for name, raw in files.items():
         (tmp_path / name).write_bytes(raw)
-    got = {r["file_name"]: (r["bytes"], r["sha256"]) for r in snapshots.file_digests(spark, str(tmp_path), "*.bin", block=1000).collect()}
+    got = {r["file_name"]: (r["bytes"], r["sha256"]) for r in digests(spark, str(tmp_path), "*.bin").collect()}
     assert got == {n: (len(raw), hashlib.sha256(raw).hexdigest()) for n, raw in files.items() if n.endswith(".bin")}
 
 
