@@ -58,6 +58,11 @@ def release(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def many(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: Spark sizes rows made by an explode by the few they came from, so the driver would get them all."""
+    return df.hint("merge")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelscope.llm.common import cut, fresh, release, whole_text
+from parcelscope.llm.common import cut, fresh, many, release, whole_text
 from parcelscope.llm.components import components
 
 CELL = 16
@@ -89,11 +89,11 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     around += [F.when(nibble(i) < 4, F.col("point") + axis[i]) for i in range(16)] + [F.when(nibble(i) > 0, F.col("point") - axis[i]) for i in range(16)]
     listed = prints.select("id", "fp", F.explode(F.array_compact(F.array(*around))).alias("cell"))
     sizes = listed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    met = cut(listed.join(sizes, "cell"), "simhash_cells")
+    met = cut(many(listed).join(sizes, "cell"), "simhash_cells")
     small = met.filter(F.col("n") <= CELL)
     left, right = small.select("cell", F.col("id").alias("a"), F.col("fp").alias("fa")), small.select("cell", F.col("id").alias("b"), F.col("fp").alias("fb"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= bits
-    pairs = left.join(right, (left["cell"] == right["cell"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    pairs = many(left).join(right, (left["cell"] == right["cell"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     crowded = met.filter(F.col("n") > CELL).select("id", "fp").distinct()
     return pairs.unionByName(_stars(crowded, bits))
 
@@ -103,11 +103,11 @@ def _stars(prints: DataFrame, bits: int) -> DataFrame:
     if bits < 2:  # a pair at one bit: one of both is a flip of the other
         flips = [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)] if bits else []
         probe = prints.select(F.col("id").alias("a"), F.explode(F.array(*flips)).alias("fp")) if flips else None
-        return probe.join(prints, "fp").select("a", F.col("id").alias("b")) if flips else prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return many(probe).join(prints, "fp").select("a", F.col("id").alias("b")) if flips else prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64))]
     words = prints.select("id", F.explode(F.array(*flips)).alias("word"))
     least = words.groupBy("word").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return words.join(least, "word").filter(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    return many(words).join(least, "word").filter(F.col("a") < F.col("id")).select("a", F.col("id").alias("b")).distinct()
 
 
 def _signed(x: int) -> int:
