@@ -197,7 +197,7 @@ def _lists(rows: DataFrame, bits: int) -> DataFrame:
     every = agree.unionByName(whole.join(named, "fp").select("id", "n", "view"))
     sizes = every.groupBy("view").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).filter("low < high")
     once = sizes.groupBy("m", "low", "high", "sum").agg(F.min("view").alias("view")).select("view", "m")
-    met = cut(every.join(once, "view").distinct(), "copies_met")
+    met = cut(many(every).join(once, "view").distinct(), "copies_met")
     # a text that others differ from in single places shares more views than they do
     weight = met.groupBy("id").agg(F.sum("m").alias("central"))
     listed = cut(met.join(weight, "id").select("view", "id", "n", "central"), "copies_lists")
@@ -267,11 +267,11 @@ def _apart(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     t = (1 - similar) / (1 + similar)
     listed = held.select("view", "id").join(sets, "id").select("view", "id", F.explode("hashes").alias("h"))
     size = held.groupBy("view").agg(F.first("m").alias("m"))
-    often = listed.groupBy("view", "h").agg(F.count("*").alias("k")).filter("k > 1").join(size, "view").withColumn("inside", F.col("k") * 2 > F.col("m"))
+    often = many(listed.groupBy("view", "h").agg(F.count("*").alias("k")).filter("k > 1")).join(size, "view").withColumn("inside", F.col("k") * 2 > F.col("m"))
     core = often.filter("inside").groupBy("view").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("m") - F.col("k")).alias("k"), "h"))), lambda x: x["h"]).alias("core"),
                                                       F.collect_list(F.when(F.col("m") - F.col("k") == 1, F.col("h"))).alias("lone"))
     # of each text the shingles that others of the list have too: those outside of C by how many have them; those of C, of which it lacks some
-    shared = listed.join(often, ["view", "h"]).groupBy("view", "id").agg(F.array_sort(F.collect_list(F.when(~F.col("inside"), F.struct("k", "h")))).alias("extra"), F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("have"))
+    shared = many(listed).join(often, ["view", "h"]).groupBy("view", "id").agg(F.array_sort(F.collect_list(F.when(~F.col("inside"), F.struct("k", "h")))).alias("extra"), F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("have"))
     texts = held.select("view", "id", "n", "component").join(shared, ["view", "id"], "left").join(core, "view", "left")
     none = F.array().cast("array<bigint>")
     lack = F.array_except(F.coalesce("core", none), F.coalesce("have", none))
@@ -287,12 +287,12 @@ def _apart(held: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     first = met.withColumn("take", take.cast("int")).filter((F.col("take") > 0) & (2 * F.size("some") - F.col("e") >= F.col("low.e") - 1e-9)).select("view", "id", "n", "component", "e", F.size("some").alias("s"), F.explode(F.slice("some", F.lit(1), F.col("take"))).alias("h"))
     first = cut(first, "copies_prefixes")
     mixed = first.groupBy("view", "h").agg(F.min("component").alias("u"), F.max("component").alias("v")).filter("u <> v").select("view", "h")
-    kept = first.join(mixed, ["view", "h"])
+    kept = many(first).join(mixed, ["view", "h"])
     other = kept.select("view", "h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("e").alias("oe"), F.col("s").alias("os"), F.col("component").alias("oc"))
     # what both have in common is at most what either has in common with anybody
     may = (F.col("id") < F.col("o")) & (F.col("component") != F.col("oc")) & (F.least("n", "on") >= similar * F.greatest("n", "on")) & (F.col("e") + F.col("oe") > 1e-9)
     may &= F.col("e") + F.col("oe") <= 2 * F.least("s", "os") + 1e-9
-    return star.unionByName(kept.join(other, ["view", "h"]).filter(may).select(F.col("id").alias("a"), F.col("o").alias("b")))
+    return star.unionByName(many(kept).join(other, ["view", "h"]).filter(may).select(F.col("id").alias("a"), F.col("o").alias("b")))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
